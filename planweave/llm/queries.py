@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules
+from . import chat_format, packing, quality_rules
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -73,7 +77,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op4_chat_formatting)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_chat_formatting, op7_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
