@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, packing, quality_rules
+from . import chat_format, decontamination, packing, quality_rules
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -76,9 +81,24 @@ FROM e GROUP BY conv_id
 """
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(w), 13) AS k, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g FROM b, unnest(range(1, len(w) - least(len(w), 13) + 2)) u(i) WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM d, ks, unnest(range(1, len(w) - k + 2)) u(i)),
+h AS (SELECT r, item, i, bw.k FROM dw JOIN bw ON dw.g = bw.g AND dw.k = bw.k),
+n AS (SELECT r, count(DISTINCT i + j) AS n_hit FROM h, unnest(range(0, k)) u(j) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op4_chat_formatting, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_chat_formatting, op5_benchmark_decontamination, op7_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op4_chat_formatting": OP4_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL}
