@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, packing, quality_rules
+from . import chat_format, decontamination, packing, quality_rules, toxicity
 from .common import table
 
 
@@ -40,6 +40,17 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def held_out(mod: int, rest: int):
+    """Whether the CRC-32 of the id as text leaves this remainder: rows kept back from learning."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == rest, F.lit(False))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.where(~held_out(5, 0))))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -97,7 +108,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op4_chat_formatting, op5_benchmark_decontamination, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_chat_formatting, op5_benchmark_decontamination, op7_best_fit_packing, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
