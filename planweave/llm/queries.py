@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, line_dedup, packing, quality_rules, toxicity
+from . import chat_format, decontamination, line_dedup, near_dedup, packing, quality_rules, toxicity
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
@@ -112,7 +116,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op4_chat_formatting, op5_benchmark_decontamination, op7_best_fit_packing, op8_toxicity, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_chat_formatting, op5_benchmark_decontamination, op7_best_fit_packing, op8_toxicity, op9_minhash_near_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
