@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, line_dedup, near_dedup, packing, quality_rules, toxicity
+from . import chat_format, decontamination, language_id, line_dedup, near_dedup, packing, quality_rules, toxicity
 from .common import table
 
 
@@ -36,6 +36,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = language_id.fit(docs.where(~held_out(4, 2)))
+    return language_id.identify(docs, field).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -116,7 +122,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op4_chat_formatting, op5_benchmark_decontamination, op7_best_fit_packing, op8_toxicity, op9_minhash_near_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_chat_formatting, op5_benchmark_decontamination, op6_language_id, op7_best_fit_packing, op8_toxicity, op9_minhash_near_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
