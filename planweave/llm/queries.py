@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, line_dedup, near_dedup, packing, quality_rules, toxicity
+from . import chat_format, decontamination, html_extract, language_id, line_dedup, near_dedup, packing, quality_rules, toxicity, warc
 from .common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     counts = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("</s>[INST] ok [/INST]"))
@@ -106,6 +115,16 @@ FROM e GROUP BY conv_id
 """
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
+f AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) END AS first FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < first THEN first END AS refers_to
+FROM f
+"""
+
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -122,8 +141,8 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op4_chat_formatting, op5_benchmark_decontamination, op6_language_id, op7_best_fit_packing, op8_toxicity, op9_minhash_near_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_html_extraction, op4_chat_formatting, op5_benchmark_decontamination, op6_language_id, op7_best_fit_packing, op8_toxicity, op9_minhash_near_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL}
+    return {"op1_warc": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL}
