@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import pair_queries
+from . import pair_queries, table_queries
 
-MODULES = (pair_queries,)
+MODULES = (pair_queries, table_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
