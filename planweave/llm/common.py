@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +33,18 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
+#: Rows of a few numbers that one file may hold.
+FILE_ROWS = 200_000
+
+
+def materialize(df: DataFrame, what: str = "table", rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    ``rows``, if its size is known, makes files of at most about ``FILE_ROWS`` each, however many partitions it has.
+    """
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,8 +57,3 @@ def words_of(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body`` with ``value`` bound once per row, for native expressions that use it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def spare_columns(df: DataFrame, used: Iterable[str]) -> DataFrame:
-    """Only the columns an operator needs; any others, whatever their names, are left behind."""
-    return df.select(*[F.col(f"`{c}`") for c in used])

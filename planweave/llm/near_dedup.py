@@ -225,21 +225,29 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """The least node that each node reaches over links (a, b): node, comp. Labels spread and jump until none changes."""
-    both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    linked = both.select(F.col("a").alias("node")).distinct()
-    labels = materialize(linked.withColumn("comp", F.col("node")), "labels")
+def components(edges: DataFrame, rows: int) -> DataFrame:
+    """The least node that each node of ``edges`` (a, b) reaches: node, comp. Labels spread and jump until none changes."""
+    both = materialize(edges.union(edges.select("b", "a")).distinct(), "links", rows)
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("comp"))
+    labels = materialize(labels, "labels", rows)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        spread = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "comp", F.least("comp", "near").alias("new"))
-        spread = materialize(spread, "labels")
+        spread = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "comp", F.least("comp", "near").alias("new"))
+        spread = materialize(spread, "labels", rows)
         jump = spread.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        moved = materialize(spread.join(jump, "new", "left").select("node", F.coalesce("far", "new").alias("new"), "comp"), "labels")
+        moved = materialize(spread.join(jump, "new").select("node", F.col("far").alias("new"), "comp"), "labels", rows)
         labels = moved.select("node", F.col("new").alias("comp"))
         if moved.where(F.col("new") != F.col("comp")).isEmpty():
-            break
-    return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+            return labels
+
+
+def contract(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (node, comp) after links (a, b) between nodes: those of the classes themselves are joined up."""
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    edges = materialize(edges.where("a <> b").distinct(), "edges")
+    roots = components(edges, edges.count()).withColumnRenamed("comp", "root").withColumnRenamed("node", "comp")
+    return materialize(comps.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "comps")
 
 
 def link_nodes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -249,18 +257,17 @@ def link_nodes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     lists = materialize(posted.join(shared, "key"), "lists")
     bits = materialize(planes(nodes.join(lists.select("node").distinct(), "node")), "planes")
     comps = bits.select("node", F.col("node").alias("comp"))
-    links = tested = None
+    tested = None
 
     def put(pairs: DataFrame, k: str):
-        nonlocal comps, links, tested
+        nonlocal comps, tested
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         done = materialize(confirm(materialize(pairs, f"pairs-{k}"), docs), f"tested-{k}")
         new = done.where("linked").select("a", "b")
         tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
         if new.isEmpty():
             return False
-        links = new if links is None else links.union(new)
-        comps = materialize(components(comps, links), "comps")
+        comps = contract(comps, new)
         return True
 
     def open_lists() -> DataFrame:
