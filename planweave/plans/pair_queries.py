@@ -164,7 +164,7 @@ coordinated AS (SELECT *, (coalesce(round_even(cost*0.01,0),150000)+CASE WHEN ti
   (coalesce(round_even(cost*0.03,0),400000)+CASE WHEN tier<=2 THEN 300000 ELSE 0 END+CASE WHEN tier=0 THEN 250000 ELSE 0 END+CASE WHEN tier<=1 THEN 200000 ELSE 0 END)::BIGINT AS high FROM coord)
 """
 COORD = f"WITH {PROJECTS_SQL}, {COMPANIES_SQL}, {WINDOWS_SQL}, {_FACTS} "
-_USD = lambda c: f"(CASE WHEN {c}>=1000000 THEN printf('$%.1fM', {c}/1000000.0) ELSE '$'||CAST(round_even({c}/1000.0,0) AS BIGINT)||'k' END)"
+_USD = lambda c: f"(CASE WHEN {c}>=1000000 THEN printf('$%.1fM', floor({c}/100000.0+0.5)/10) ELSE '$'||CAST(round_even({c}/1000.0,0) AS BIGINT)||'k' END)"
 
 
 def _describe(s: str) -> str:
