@@ -15,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pin_scans(spark: SparkSession) -> None:
+    """Fix the number by which Spark splits small tables into partitions.
+
+    It follows the cores at hand, which change when an executor is lost; operators that number the rows of a
+    stored table in more than one scan need the same partitions each time.
+    """
+    key = "spark.sql.leafNodeDefaultParallelism"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, spark.sparkContext.defaultParallelism)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

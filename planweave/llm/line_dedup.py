@@ -23,6 +23,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pin_scans
+
 #: Passages of over 50 words go.
 MIN_WORDS = 51
 #: Lines of fewer words are fingerprints only where a window has no other.
@@ -117,6 +119,7 @@ def drop_lines(rows: DataFrame, keep: list[str]) -> DataFrame:
 def line_dedup(docs: DataFrame, keep: list[str] | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """Every document: ``keep`` (doc_id if not given), its text without later runs, and what was deleted."""
     keep = keep or ["doc_id"]
+    pin_scans(docs.sparkSession)
     numbered = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("text_"), F.monotonically_increasing_id().alias("row_"))
     source = docs.select(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id().alias("row_"))
     spans = repeats(post(source, min_words)).groupBy("row_").agg(F.collect_set(F.struct("first_line", "last_line")).alias("spans_"))

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, pin_scans
 
 SHINGLE = 5
 COORDINATES, MATCHES = 64, 39
@@ -296,6 +296,7 @@ def link_nodes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """Per row: row_ (its number in reading order), doc_id, n_shingles, component_id, kept, first."""
+    pin_scans(docs.sparkSession)
     signed = materialize(sign(docs), "signed")
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_"))
     classes = materialize(signed.where("n > 0").groupBy("digest").agg(F.min("row_").alias("node"), lead.alias("lead")), "classes")
