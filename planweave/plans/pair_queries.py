@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, geo, owners
+from ..functions import corridor, dates, geo, owners
 from ..operators import pairs
 from .fixtures import AS_OF, NAMES, PROJECTS_SQL, projects
 
@@ -23,6 +23,14 @@ def distance_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.candidate_pairs(projects(spark, sf_dir)).select("a_id", "b_id", F.round("metres", 3).alias("metres"))
 
 
+def shared_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kilometres that two routes at most 1,600 m apart share in a strip of that width."""
+    found = pairs.candidate_pairs(projects(spark, sf_dir).where("routed"), corridor.STRIP_M)
+    for stage in corridor.shared_km("a", "b"):
+        found = found.withColumns({k: F.expr(v) for k, v in stage.items()})
+    return found.select("a_id", "b_id", F.round("shared_km", 2).alias("shared_km"))
+
+
 def pair_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coordination(spark, sf_dir).select("pair_id", "total_low", "total_high", "if_aligned_low", "if_aligned_high")
 
@@ -176,7 +184,13 @@ BRIEF_SQL = f"""a_company||'''s '||{_describe('a')}||' and '||b_company||'''s '|
   CASE tier WHEN 0 THEN 'They touch: one outage window and one crossing design would serve both.' WHEN 1 THEN 'Right-of-way, access roads and one permit package could be shared.' WHEN 2 THEN 'A laydown yard and deliveries could be shared.' ELSE 'Line crews, cranes and contractors could be shared.' END||
   CASE WHEN tier<=3 THEN ' A rough value is '||{_USD('low')}||'–'||{_USD('high')}||'.' ELSE '' END"""
 
+_SHARED, _names = "", []
+for _i, _stage in enumerate(corridor.shared_km("a", "b")):
+    _SHARED += f", c{_i + 1} AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _stage.items()) + f" FROM c{_i})"
+    _names.append(f"c{_i + 1}")
+
 SQL = {
+    "shared_corridors": f"WITH {PROJECTS_SQL}, routes AS (SELECT * FROM projects WHERE routed), {_JOIN.format(rows='routes')}, c0 AS (SELECT a_id, b_id, " + ", ".join(f"{x}.{c} AS {x}_{c}" for x in "ab" for c in ("lat1", "lng1", "lat2", "lng2")) + f" FROM pairs JOIN routes a ON a.id=a_id JOIN routes b ON b.id=b_id WHERE metres<=1600){_SHARED} SELECT a_id, b_id, round(shared_km,2) AS shared_km FROM {_names[-1]}",
     "coordination_pairs": COORD + "SELECT pair_id, a_id, b_id, miles, band, tier, overlap_days, round(ratio,4) AS ratio, gap_days, window_start, window_end, round(composite,6) AS composite, indeterminate FROM coordinated",
     "distance_self_join": f"WITH {PROJECTS_SQL}, {_JOIN.format(rows='projects')} SELECT a_id, b_id, round(metres,3) AS metres FROM pairs",
     "pair_impacts": COORD + "SELECT pair_id, CASE WHEN tier<=3 THEN low END AS total_low, CASE WHEN tier<=3 THEN high END AS total_high, CASE WHEN tier<=3 THEN low END AS if_aligned_low, CASE WHEN tier<=3 THEN high END AS if_aligned_high FROM coordinated",
@@ -199,5 +213,5 @@ SQL = {
 
 QUERIES = {
     f.__name__: f
-    for f in (coordination_pairs, distance_self_join, pair_impacts, pair_briefs, best_pair_per_project, pairs_in_bands, pairs_between, pair_partners, pairs_by_overlap, pairs_in_view, pair_counts_by_state, build_windows, company_names, company_eligibility, partial_dates)
+    for f in (coordination_pairs, distance_self_join, shared_corridors, pair_impacts, pair_briefs, best_pair_per_project, pairs_in_bands, pairs_between, pair_partners, pairs_by_overlap, pairs_in_view, pair_counts_by_state, build_windows, company_names, company_eligibility, partial_dates)
 }

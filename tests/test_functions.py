@@ -53,3 +53,15 @@ def test_a_grid_join_loses_no_pair(spark):
     a, b = pairs.prefixed(df, "a"), pairs.prefixed(df, "b")
     every = a.join(b, (F.col("a_id") < F.col("b_id")) & (F.col("a_utility") != F.col("b_utility"))).where(geo.segment_distance("a", "b") <= pairs.RADIUS_M)
     assert got == {(r.a_id, r.b_id) for r in every.collect()} and len(got) > 100
+
+
+def test_parallel_routes_share_their_length(spark):
+    from planweave.functions import corridor
+
+    rows = [(1, "A", 33.0, -82.0, 33.0, -81.68), (2, "B", 33.005, -82.0, 33.005, -81.68), (3, "C", 33.5, -82.0, 32.5, -82.0)]
+    df = spark.createDataFrame(rows, "id long, utility string, lat1 double, lng1 double, lat2 double, lng2 double")
+    found = pairs.candidate_pairs(df, corridor.STRIP_M)
+    for stage in corridor.shared_km("a", "b"):
+        found = found.withColumns({k: F.expr(v) for k, v in stage.items()})
+    got = {(r.a_id, r.b_id): r.shared_km for r in found.collect()}
+    assert 28 < got[1, 2] < 31 and abs(got[1, 3] - 1.6) < 0.01
