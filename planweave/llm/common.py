@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,13 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch lies in memory several times.
+BATCH_ROWS = 2_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder; its session sends texts to Python in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -68,3 +75,15 @@ def words_of(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body`` with ``value`` bound once per row, for native expressions that use it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_state: dict = {}
+
+
+def worker_state(key: tuple, make):
+    """What a Python worker keeps from task to task: one thing only, so that what an operator remembers makes room for the next."""
+    if key not in _state:
+        _state.clear()
+        gc.collect()
+        _state[key] = make()
+    return _state[key]

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, worker_state
 
 WINDOW = 13
 BLOCK_BYTES = 4_000_000
@@ -85,15 +85,9 @@ class Query:
                                 yield k, max(0, d + s - slop), d + s + size - 1 + slop, False
 
 
-_queries: dict[str, Query] = {}
-
-
 def query_of(name: str, sent) -> Query:
     """The worker's own copy of the query set, built once."""
-    if name not in _queries:
-        _queries.clear()
-        _queries[name] = Query(*sent.value)
-    return _queries[name]
+    return worker_state(("decontamination", name), lambda: Query(*sent.value))
 
 
 def read_items(bench: DataFrame) -> list[tuple[str, list[bytes]]]:

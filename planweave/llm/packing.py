@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, worker_state
 
 SEQUENCE = 2048
 #: Pieces a bucket holds on average; bounds a task's memory and keeps the search long enough to fit well.
@@ -27,7 +27,7 @@ BUCKET = 40_000
 #: A bin under this share is opened again in the next round.
 FULL = 0.99
 #: Whole words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Punctuation that the tokenizer always splits from a word of letters.
 TAIL = ".,;:!?"
 #: Characters of a text that are split into words at a time.
@@ -119,18 +119,13 @@ class WordIds:
         return b"".join(done)
 
 
-_ids: dict[str, WordIds] = {}
-
-
 def word_ids(path: str | None) -> WordIds:
     """The worker's own, kept from task to task."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    if path not in _ids:
-        _ids[path] = WordIds(path)
-    return _ids[path]
+    return worker_state(("packing", path), lambda: WordIds(path))
 
 
 def tokenize(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -31,7 +31,7 @@ LEXICON = 2_000
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 #: Words between a hit and a second-person word that count as near.
 NEAR = 5
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 #: Second-person words of four languages.
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros contigo".split())
