@@ -4,7 +4,8 @@ Documents are tokenized where they lie, cut only if longer than a sequence, and
 buckets of bounded size, dealt by row number so that no key can fill one. In a bucket each bin is filled
 greedily with the longest piece that fits; then its smallest piece gives way to two unpacked pieces that
 fit the expanded gap more tightly. Bins that stay too empty are opened again in the next round over fewer
-buckets, until one bucket holds what is left, so the loss does not grow with the number of buckets.
+buckets, as long as a round leaves at most half of its pieces; then the rest is packed as it lies. A bucket
+never grows, and its last bin is the only one that a larger bucket could have filled.
 
 Defined results: a null text is empty and becomes the end id alone; repeated rows (also with equal or
 null document ids) are packed one by one; other columns are left out; an empty table gives no rows.
@@ -229,10 +230,10 @@ def pack(pieces: DataFrame, length: int = SEQUENCE, bucket: int = BUCKET) -> Dat
     columns = pieces.columns
     whole = numbered.where(F.col("length") == length).select(*columns, (-1 - F.col("row_")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     todo, done, round_ = numbered.where(F.col("length") < length), [whole], 0
-    n = todo.count()
+    n, before = todo.count(), math.inf
     while n:
-        buckets = max(1, math.ceil(n / bucket))
-        last = buckets == 1
+        buckets = math.ceil(n / bucket)
+        last = buckets == 1 or n > before / 2
 
         dealt = todo.withColumn("bucket_", F.pmod(F.xxhash64("row_", F.lit(round_)), F.lit(buckets)))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema) + ", sequence_id long, offset long"
@@ -240,7 +241,6 @@ def pack(pieces: DataFrame, length: int = SEQUENCE, bucket: int = BUCKET) -> Dat
         done.append(packed.where(F.col("sequence_id") >= 0).drop("row_"))
         todo = packed.where(F.col("sequence_id") < 0).drop("sequence_id", "offset")
         before, n = n, 0 if last else todo.count()
-        bucket = bucket if n <= before / 2 else max(bucket, math.ceil(bucket * 2))
         round_ += 1
     out = done[0]
     for d in done[1:]:
