@@ -131,7 +131,7 @@ def page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as documents, their turns as pages."""
+    """Orders of a customer group as the pages of a document."""
     own = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("doc"), F.col("o_orderkey").alias("page"), F.repeat(F.lit("x"), (100 + F.col("o_orderkey") * 37 % 900).cast("int")).alias("text"))
     return pages.chunk_pages(own, 4000)
 
