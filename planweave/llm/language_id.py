@@ -16,7 +16,6 @@ one by one; chains are cut every ``CHAIN`` words to bound memory; an empty table
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,26 +29,50 @@ SAMPLE = 300
 SAMPLE_CHARS = 20_000
 LEXICON = 300
 HASH_BITS = 17
+#: Characters of a word that n-grams see, the marks of both ends included; of longer words the beginning and the end.
+WIDTH = 24
 EPOCHS = 3
 CHAIN = 200_000
 #: Opening words that count for the language a text begins in.
 HEAD = 30
 #: Cells (chains times words) that are worked on at a time.
 CELLS = 400_000
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def features(core: str, lexicons: list[frozenset]) -> list[int]:
-    """Hashed features of a word."""
-    own = [f"w{core}"]
-    own += [f"p{core[:k]}" for k in (1, 2, 3) if len(core) >= k]
-    own += [f"s{core[-k:]}" for k in (1, 2, 3) if len(core) >= k]
-    padded = f"<{core[:40]}>"
-    own += [padded[i : i + k] for k in (2, 3) for i in range(len(padded) - k + 1)]
-    own += [f"lexicon {i}" for i, x in enumerate(lexicons) if core in x]
-    mask = (1 << HASH_BITS) - 1
-    return [zlib.crc32(x.encode("utf-8", "replace")) & mask for x in own]
+def features(cores: list[str], lexicons: list[frozenset]):
+    """Hashed features of words, a row each, 0 for none: n-grams of two and three characters between the marks of
+    beginning and end (those at a mark are affixes), affixes of three, the word itself and the lexicons that hold it."""
+    import numpy as np
+
+    short = [c if len(c) <= WIDTH - 2 else c[: WIDTH - 6] + c[-4:] for c in cores]
+    x = np.array([f"<{c}>" for c in short], f"U{WIDTH}").view("u4").reshape(len(short), WIDTH).astype("u8")
+    n = (x > 0).sum(axis=1)
+    width = int(n.max(initial=2))
+    rows = np.arange(len(x))
+    columns = []
+
+    def add(h, kind: int, there) -> None:
+        h = (h + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+        columns.append(np.where(there, (h * np.uint64(0xD1B54A32D192ED03) >> np.uint64(64 - HASH_BITS)).astype("i4") | 1, 0))
+
+    two = x[:, : width - 1] << np.uint64(21) | x[:, 1:width]
+    three = two[:, :-1] << np.uint64(21) | x[:, 2:width]
+    for i in range(width - 1):
+        add(two[:, i], 2, n > i + 1)
+    for i in range(width - 2):
+        add(three[:, i], 3, n > i + 2)
+    four = lambda i: (three[rows, i] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ x[rows, np.minimum(i + 3, WIDTH - 1)]
+    if width > 4:
+        add(four(np.zeros(len(x), "i8")), 4, n > 4)
+        add(four(np.maximum(n - 4, 0)), 5, n > 4)
+    odd = np.random.default_rng(1).integers(0, 2**62, WIDTH, dtype="u8") * np.uint64(2) + np.uint64(1)
+    add((x * odd).sum(axis=1, dtype="u8"), 6, n > 2)
+    for k, own in enumerate(lexicons):
+        columns.append(np.fromiter((2 * k + 2 if c in own else 0 for c in cores), "i4", len(cores)))
+    return np.stack(columns, axis=1)
 
 
 def core_of(word: str) -> str:
@@ -92,23 +115,19 @@ class Emitter:
                 self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
             cores = [core_of(w) for w in new]
             has = np.array([bool(LETTER.search(c)) for c in cores])
-            lists = [features(c, self.field.lexicons) if h else [] for c, h in zip(cores, has, strict=True)]
-            self.scores[first:n] = summed(self.field.weights, lists)
+            self.scores[first:n] = np.where(has[:, None], summed(self.field.weights, features(cores, self.field.lexicons)), 0)
             self.letters[first:n] = has
             self.at.update(zip(new, range(first, n), strict=True))
         return np.fromiter(map(self.at.__getitem__, words), "i4", len(words))
 
 
-def summed(weights, lists: list[list[int]]):
-    """Sum of the weights' rows for each list of features."""
+def summed(weights, rows):
+    """Sum of the weights of each row of features."""
     import numpy as np
 
-    sizes = np.array([len(x) for x in lists])
-    out = np.zeros((len(lists), weights.shape[1]), "f4")
-    if sizes.sum():
-        flat = weights[np.concatenate([np.array(x, "i4") for x in lists if x])]
-        starts = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]])
-        out[sizes > 0] = np.add.reduceat(flat, starts, axis=0)
+    out = np.zeros((len(rows), weights.shape[1]), "f4")
+    for column in rows.T:
+        out += weights[column]
     return out
 
 
@@ -129,12 +148,13 @@ def posteriors(emissions: list, field: Field, moves=None) -> list:
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")
     a = np.exp(field.transitions - field.transitions.max()).astype("f4")
     forward = np.zeros_like(e)
+    ones = np.ones((n_labels, 1), "f4")
     now = e[0] * np.exp(field.start - field.start.max()).astype("f4")
     forward[0] = now = now / now.sum(axis=1, keepdims=True)
     for t in range(1, steps):
         n = active[t]
         now = (now[:n] @ a) * e[t, :n]
-        now /= now.sum(axis=1, keepdims=True)
+        now /= now @ ones
         forward[t, :n] = now
     back = np.ones((len(order), n_labels), "f4")
     for t in range(steps - 2, -1, -1):
@@ -144,7 +164,7 @@ def posteriors(emissions: list, field: Field, moves=None) -> list:
             pair = forward[t, :n, :, None] * a * right[:, None, :]
             moves += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         x = right @ a.T
-        back[:n] = x / x.sum(axis=1, keepdims=True)
+        back[:n] = x / (x @ ones)
         forward[t, :n] *= back[:n]
     forward /= np.maximum(forward.sum(axis=2, keepdims=True), 1e-30)
     out: list = [None] * len(order)
@@ -174,9 +194,9 @@ def train(texts: list[list[str]], gold: list[int], labels: list, seed: int = 6)
     counts = [Counter(c for own, y in zip(cores, gold, strict=True) if y == k for c in own) for k in range(len(labels))]
     field = Field(labels, [frozenset(w for w, _ in c.most_common(LEXICON)) for c in counts])
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for own in cores for w in own))}
-    lists = [features(w, field.lexicons) for w in vocabulary]
-    flat, sizes = np.concatenate([np.array(x, "i4") for x in lists]) if lists else np.zeros(0, "i4"), np.array([len(x) for x in lists])
-    owner = np.repeat(np.arange(len(lists)), sizes)
+    lists = features(list(vocabulary), field.lexicons)
+    owner, at = np.nonzero(lists)
+    flat = lists[owner, at]
     k = len(labels)
     field.weights = np.zeros((1 << HASH_BITS, k), "f4")
     field.transitions, field.start = np.zeros((k, k)), np.zeros(k)
@@ -224,13 +244,13 @@ def label_words(texts: list[str | None], emitter: Emitter) -> list:
     """For each text: its words' posteriors and which words hold a letter; None without any letter."""
     out: list = [None] * len(texts)
     chains: list = []
-    for i, text in enumerate(texts):
-        if text and LETTER.search(text):
-            words = text.split()
-            codes = emitter.codes(words)
-            for at in range(0, len(codes), CHAIN):
-                part = codes[at : at + CHAIN]
-                chains.append((i, emitter.scores[part], emitter.letters[part]))
+    split = [text.split() if text and LETTER.search(text) else [] for text in texts]
+    codes, first = emitter.codes([w for words in split for w in words]), 0
+    for i, words in enumerate(split):
+        for at in range(first, first + len(words), CHAIN):
+            part = codes[at : min(at + CHAIN, first + len(words))]
+            chains.append((i, emitter.scores[part], emitter.letters[part]))
+        first += len(words)
     for group in batches_of([len(c[1]) for c in chains]):
         for j, p in zip(group, posteriors([chains[j][1] for j in group], emitter.field), strict=True):
             i = chains[j][0]
@@ -250,11 +270,13 @@ def shares(found: list):
 def predict(texts: list[str | None], emitter: Emitter) -> tuple[list, list]:
     labels, scores = [], []
     field = emitter.field
+    if not field.labels:
+        return ["und"] * len(texts), [0.0] * len(texts)
     for at in range(0, len(texts), 400):
         for found in label_words(texts[at : at + 400], emitter):
-            if found is None or not field.labels:
+            if found is None:
                 labels.append("und")
-                scores.append(1.0 if field.labels else 0.0)
+                scores.append(1.0)
                 continue
             whole, head = shares(found)
             mixed = (1 - field.head_share) * whole + field.head_share * head
@@ -268,14 +290,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """Learn from ``text`` and non-null ``lang`` of ``docs``."""
     import numpy as np
 
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text", F.xxhash64("text", F.lit(6)).alias("h"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("lang", F.xxhash64("text", F.lit(6)).alias("h"), "text")
     langs = sorted(r.lang for r in docs.select("lang").where("lang is not null").distinct().collect())
+    if not langs:
+        return Field([], [])
     chosen = None
-    for lang in langs:  # a bounded top of each label, never a sort of one label's rows
-        top = known.where(F.col("lang") == lang).dropDuplicates(["h"]).orderBy("h").limit(sample)
+    for lang in langs:  # hashes alone are sorted, a bounded top of each label
+        top = known.where(F.col("lang") == lang).select("lang", "h").distinct().orderBy("h").limit(sample)
         chosen = top if chosen is None else chosen.union(top)
-    if chosen is None:
-        return Field([], [])
+    chosen = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     rows = materialize(chosen, "language-sample").collect()
     at = {x: i for i, x in enumerate(langs)}
     field = train([r.text.split() for r in rows], [at[r.lang] for r in rows], langs)
