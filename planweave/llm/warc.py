@@ -32,6 +32,8 @@ REVISIT_FROM = 1000
 #: An archive is closed at this size, and read in ranges of that one.
 ARCHIVE_BYTES, RANGE_BYTES = 64_000_000, 8_000_000
 READ = 1 << 18
+#: Tasks that ranges are dealt to at most.
+READERS = 20_000
 #: A header block is no longer than this.
 HEADER = 1 << 16
 #: The beginning of a gzip member and of a record, the epoch that records are dated.
@@ -305,7 +307,8 @@ def read_warc(archives: DataFrame, range_bytes: int = RANGE_BYTES, with_payload:
                             rows, held = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array([y.get(f) for y in rows], t) for f, t in zip(FIELDS, types, strict=True)], FIELDS)
 
-    return ranges.repartition(F.col("path"), F.col("at")).mapInArrow(run, SCHEMA)
+    # a number that is given, not left to adaptive planning: the ranges are a few bytes each, what they name is not
+    return ranges.repartition(max(1, min(ranges.count(), READERS))).mapInArrow(run, SCHEMA)
 
 
 def find_archives(spark: SparkSession, folder: str) -> DataFrame:
