@@ -34,7 +34,7 @@ ARCHIVE_BYTES, RANGE_BYTES = 64_000_000, 8_000_000
 READ = 1 << 18
 #: Tasks that ranges are dealt to at most.
 READERS = 20_000
-#: A header block is no longer than this.
+#: A bare record's header block is looked for in so many bytes, then in twice as many, up to the end of the file.
 HEADER = 1 << 16
 #: The beginning of a gzip member and of a record, the epoch that records are dated.
 MEMBER, VERSION, DATE = b"\x1f\x8b\x08", b"WARC/1.", "1970-01-01T00:00:00Z"
@@ -182,7 +182,7 @@ def inflate(src: Source, start: int) -> tuple[bytes, int]:
 
 def parse_head(data: bytes) -> tuple[dict, int]:
     """Headers by lower-case name, and where the block begins."""
-    end = data.find(b"\r\n\r\n", 0, HEADER)
+    end = data.find(b"\r\n\r\n")
     if not re.match(rb"WARC/1\.\d\r\n", data) or end < 0:
         raise Bad("no version line or no end of headers")
     head = {}
@@ -194,6 +194,16 @@ def parse_head(data: bytes) -> tuple[dict, int]:
     return head, end + 4
 
 
+def bare_head(src: Source, start: int) -> bytes:
+    """Bytes from ``start`` that hold the end of the headers, or all that follow if there is none."""
+    n = HEADER
+    while True:
+        data = src.need(start, n)
+        if len(data) < n or not data.startswith(VERSION) or b"\r\n\r\n" in data:
+            return data
+        n *= 2
+
+
 def parse(head: dict, block: bytes, tail: bytes) -> dict:
     if len(block) != int(head["content-length"]) or tail != b"\r\n\r\n":
         raise Bad("length is not as said")
@@ -224,7 +234,7 @@ def read_one(src: Source, start: int) -> tuple[dict, int]:
         head, at = parse_head(data)
         n = int(head["content-length"])
         return parse(head, data[at : at + n], data[at + n :]), end
-    head, at = parse_head(src.need(start, HEADER))
+    head, at = parse_head(bare_head(src, start))
     n = int(head["content-length"])
     if start + at + n + 4 > src.size:
         raise Bad("record cut short")

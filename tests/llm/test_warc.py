@@ -61,3 +61,14 @@ def test_a_file_without_records_is_one_gap(spark, tmp_path):
     path = str(tmp_path / "x.warc.gz")
     open(path, "wb").write(b"\x1f\x8b\x08 nothing WARC/1. here" * 50)
     assert read(spark, path, 200) == ([], [(0, os.path.getsize(path))])
+
+
+def test_a_long_url_is_read_back(spark, tmp_path):
+    url = "data:text/plain," + "a b" * 33_334
+    got = warc.archive_and_read(spark.createDataFrame([(1, url, "<p>one", ""), (2, "u", "<p>two", "")], PAGES)).collect()
+    assert sorted(r.page_id for r in got) == [1, 2]
+    digest = hashlib.sha1(b"x").hexdigest()
+    data = b"".join(warc.record("response", i, url if i == 1 else "u", b"x", digest, 1, None) for i in range(3))
+    path = str(tmp_path / "long.warc")
+    open(path, "wb").write(data)
+    assert read(spark, path, 10**9) == ([0, 1, 2], [])
