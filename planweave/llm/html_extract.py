@@ -5,7 +5,11 @@ characters over the tags inside it. Ratios are smoothed by a Gaussian over neigh
 the page, and lines are clustered by a threshold, a share of the smoothed ratios' deviation and mean. Lines in
 parts that by their tag or their class and id are no article (menus, headers, footers, sidebars, notices,
 adverts, forms, reader comments) and scripts, styles and comments are never content. If an article or main
-element holds most of the text the threshold finds, the region is that element, whole.
+element holds most of the text the threshold finds, the region is that element, whole. If not, lines below the
+threshold are kept where they stand among lines of content, children of one container.
+
+A class or id says less than a tag: main elements, and article elements that are no comments or teasers, stand out
+of a part that only its class or id marks, and if nothing else is left, what only a class or id marks is content.
 
 Defined results: null, empty and malformed pages give the text found, or an empty string; an unclosed tag
 ends with the block around it; only the columns named in ``keep`` are carried; rows are treated one by one.
@@ -36,16 +40,29 @@ NAMED = re.compile(
     r"comments?|comment-\w+|replies|disqus|cookies?|consent|notice|popup|modal|overlay|subscribe|newsletter|signup|login|form|search|tags|pagination|pager|copyright|legal)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Names of a layout, not of a part: has-sidebar, no-menu.
+LAYOUT = re.compile(r"(?<![^\s_-])(?:has|have|with|without|no)[_-]\S+", re.IGNORECASE)
+#: Parts whose article elements are reader comments or teasers of other pages.
+OTHERS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-\w+|replies|disqus|related|recommend\w*|ads?|advert\w*|sponsor\w*|promo\w*|widget)(?:$|[\s_-])", re.IGNORECASE)
+#: What a head may hold; anything else ends it.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+#: Blocks that hold others as their children; the rest are lines of the container they stand in.
+CONTAINER = frozenset("html body article main section div center aside header footer nav form fieldset dialog menu".split())
 SPACE = re.compile(r"\s+")
+#: How much an element is set aside: by its class or id, by that of comments or teasers, by its tag.
+NAME_ASIDE, OTHERS_ASIDE, TAG_ASIDE = 1, 2, 3
 
 
 @dataclass
 class Line:
     text: str
     tags: int
-    aside: bool
+    aside: int  # 0: not set aside
     region: int  # 0: outside any article or main element
     part: int
+    box: int  # the container that the line's block is a child of
+    block: bool  # in a block of its own, not directly in a container
+    linked: bool  # all of it is links
 
 
 class Lines(HTMLParser):
@@ -53,24 +70,29 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, hidden, aside, region
+        self.stack: list[tuple[str, bool, int, int, tuple[int, int, bool], bool]] = []  # tag, hidden, aside, region, box, link
         self.lines: list[Line] = []
         self.buffer: list[str] = []
-        self.tags = self.regions = self.part = 0
+        self.tags = self.regions = self.part = self.boxes = 0
+        self.linked = True
 
-    def state(self) -> tuple[bool, bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, False, 0)
+    def state(self) -> tuple[bool, int, int, tuple[int, int, bool], bool]:
+        return self.stack[-1][1:] if self.stack else (False, 0, 0, (0, 0, True), False)
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.buffer)).strip()
         if text:
-            _, aside, region = self.state()
-            self.lines.append(Line(text, self.tags, aside, region, self.part))
-        self.buffer, self.tags = [], 0
+            _, aside, region, (box, outer, block), _ = self.state()
+            self.lines.append(Line(text, self.tags, aside, region, self.part, box if block else outer, block, self.linked))
+        self.buffer, self.tags, self.linked = [], 0, True
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body" or (self.stack and self.stack[-1][0] == "head") and tag not in IN_HEAD:  # the end tag of a head may be left out
+            self.end_head()
         if self.stack and self.stack[-1][1]:  # inside hidden text only its end counts
-            if tag not in VOID and tag == self.stack[-1][0]:
+            if tag not in VOID and tag in IN_HEAD and self.stack[-1][0] == "head":
+                self.stack.append((tag, *self.state()))
+            elif tag not in VOID and tag == self.stack[-1][0]:
                 self.stack.append((tag, *self.state()))
             return
         if tag in BLOCK:
@@ -83,16 +105,30 @@ class Lines(HTMLParser):
             self.buffer.append(" ")
         if tag in VOID:
             return
-        hidden, aside, region = self.state()
+        hidden, aside, region, box, link = self.state()
         own = dict(attrs)
         names = f"{own.get('class') or ''} {own.get('id') or ''} {own.get('role') or ''}"
         if tag in ("article", "main") and not region:
             self.regions += 1
             region = self.regions
-        if tag in ASIDE or tag not in ("html", "body", "article", "main") and NAMED.search(names) or "hidden" in own:
-            aside = True
+            if aside == NAME_ASIDE or aside == OTHERS_ASIDE and tag == "main":
+                aside = 0
+                self.part += 1
+        if tag in ASIDE or "hidden" in own:
+            mark = TAG_ASIDE
+        elif tag not in ("html", "body", "article", "main") and NAMED.search(names := LAYOUT.sub("", names)):
+            mark = OTHERS_ASIDE if OTHERS.search(names) else NAME_ASIDE
+        else:
+            mark = 0
+        if mark:
+            aside = max(aside, mark)
             self.part += 1
-        self.stack.append((tag, hidden or tag in HIDDEN, aside, region))
+        if tag in CONTAINER:
+            self.boxes += 1
+            box = (self.boxes, box[0], False)
+        elif tag in BLOCK:
+            box = (box[0], box[1], True)
+        self.stack.append((tag, hidden or tag in HIDDEN, aside, region, box, link or tag == "a"))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
@@ -108,8 +144,17 @@ class Lines(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_data(self, data: str) -> None:
-        if not self.state()[0]:
+        blank = not data.strip()
+        if not blank and self.stack and self.stack[-1][0] == "head":
+            self.end_head()
+        hidden, *_, link = self.state()
+        if not hidden:
             self.buffer.append(data)
+            self.linked = self.linked and (link or blank)
+
+    def end_head(self) -> None:
+        if any(x[0] == "head" for x in self.stack):
+            self.pop_to("head")
 
     def block(self) -> str:
         return next((x[0] for x in reversed(self.stack) if x[0] in BLOCK), "")
@@ -147,22 +192,46 @@ def smooth(ratios: list[float], parts: list[int], sigma: float) -> list[float]:
     return (total / np.maximum(weight, 1e-12)).tolist()
 
 
+def among(lines: list[Line], found: list[bool]) -> list[bool]:
+    """``found``, and the lines between found ones of one container, and next to them if they are blocks of their own and not all links."""
+    boxes: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        boxes.setdefault(x.box, []).append(i)
+    out = list(found)
+    for own in boxes.values():
+        hits = [k for k, i in enumerate(own) if found[i]]
+        if not hits:
+            continue
+        first, last = hits[0], hits[-1]
+        joins = lambda k: lines[own[k]].block and not lines[own[k]].linked
+        while first > 0 and joins(first - 1):
+            first -= 1
+        while last < len(own) - 1 and joins(last + 1):
+            last += 1
+        for i in own[first : last + 1]:
+            out[i] = True
+    return out
+
+
 def extract(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> str:
     """The main text of one page."""
-    lines = [x for x in lines_of(html) if not x.aside]
+    every = lines_of(html)
+    lines = next((own for k in (0, NAME_ASIDE, OTHERS_ASIDE) if (own := [x for x in every if x.aside <= k])), [])
     if not lines:
         return ""
     smoothed = smooth([len(x.text) / (1 + x.tags) for x in lines], [x.part for x in lines], sigma)
     mean = sum(smoothed) / len(smoothed)
     deviation = (sum((x - mean) ** 2 for x in smoothed) / len(smoothed)) ** 0.5
     least = share * (mean + deviation) / 2
-    content = [x for x, s in zip(lines, smoothed, strict=True) if s >= least]
+    found = [s >= least for s in smoothed]
     sizes: dict[int, int] = {}
-    for x in content:
+    for x in (x for x, f in zip(lines, found, strict=True) if f):
         sizes[x.region] = sizes.get(x.region, 0) + len(x.text)
     inside = {r: n for r, n in sizes.items() if r}
     if inside and 2 * sum(inside.values()) >= sum(sizes.values()):
         content = [x for x in lines if x.region in inside]
+    else:
+        content = [x for x, f in zip(lines, among(lines, found), strict=True) if f]
     return " ".join(x.text for x in content)
 
 
