@@ -16,6 +16,8 @@ from planweave.llm.common import new_path, table
 from planweave.llm.queries import held_out
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Texts from this Jaccard similarity of word shingles on, in hundredths, are near copies. The 85 of op9 is that query's own.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = near_dedup.near_dedup(docs).where("first").select("row_")
+    first = near_dedup.near_dedup(docs, NEAR_PERCENT).where("first").select("row_")
     return docs.withColumn("row_", F.monotonically_increasing_id()).join(first, "row_").select(COLUMNS)
 
 

@@ -2,19 +2,21 @@
 
 1. Each text becomes the set of its five-word shingles (64-bit hashes), a digest of that set and a MinHash
    signature of 64 coordinates. Texts of one set are one node, whatever their number.
-2. A node is posted under (coordinate, value) pairs. Only its 26 rarest are posted: two signatures that agree
-   in at least ``MATCHES`` of 64 coordinates share one of them, since prefixes follow one order of all pairs.
+2. A node is posted under (coordinate, value) pairs. Only its rarest are posted (26 at a similarity of 0.85, 30 at
+   0.8): two signatures that agree in at least ``matches_for`` of 64 coordinates share one of them, since prefixes
+   follow one order of all pairs.
    Rarity comes from a sketch of fixed size, so that pairs which many texts share are skipped.
 3. In each posting list all nodes are matched with one leader, chosen anew each round; collisions are counted
-   over the whole signature, and those with ``MATCHES`` agreeing coordinates are confirmed on full shingle sets.
+   over the whole signature, and those with enough agreeing coordinates are confirmed on full shingle sets.
    Links are contracted, so a large group of near copies costs its size and not its square.
 4. Pairs of the lists that still lie in different classes, and were not tested before, are all tested.
 
-Before any set is fetched, pairs must pass two native tests that no link fails: ``MATCHES`` agreeing coordinates,
+Before any set is fetched, pairs must pass two native tests: so many agreeing coordinates,
 and an odd sketch (the parity of the shingles in each of 512 hash cells), whose unequal cells are never more than
 the shingles in which two sets differ.
 
-A pair of Jaccard similarity 0.85 is missed in step 2 with probability 6e-7, a closer one more rarely still.
+A pair of just the Jaccard similarity asked for is missed by its signature with a probability of at most ``MISSED``
+(6e-7 at 0.85, 1.2e-6 at 0.8), a closer one more rarely still.
 All links are confirmed exactly, in integers. Every step is a join, a grouping or a map over bounded rows.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; a text of fewer than
@@ -25,6 +27,7 @@ table gives no rows. The input must give the same rows in the same order when re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -33,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import materialize, pin_scans
 
 SHINGLE = 5
-COORDINATES, MATCHES = 64, 39
-PREFIX = COORDINATES - MATCHES + 1
-PERCENT = 85
+COORDINATES = 64
+#: Least similarity of a link in hundredths if none is given, and how often a pair of the least similarity may fail by its signature.
+PERCENT, MISSED = 85, 1.5e-6
 SKETCH_BITS = 16
 #: Cells of the odd sketch, and the numbers that hold them.
 CELLS = 512
@@ -45,6 +48,16 @@ ROUNDS = 2
 SLICE = 4096
 
 
+def matches_for(percent: int) -> int:
+    """The most coordinates that may be asked to agree: 39 of 64 at 85 %, 35 at 80 %."""
+    p, missed = percent / 100, 0.0
+    for m in range(COORDINATES + 1):
+        missed += math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if missed > MISSED:
+            return m
+    return COORDINATES
+
+
 def constants(n: int):
     import numpy as np
 
@@ -139,8 +152,9 @@ def rarity(nodes: DataFrame):
     return ranked(nodes.select("least").mapInArrow(run, "bucket long, n long"))
 
 
-def post(nodes: DataFrame, ranks) -> DataFrame:
+def post(nodes: DataFrame, ranks, matches: int) -> DataFrame:
     """The prefix postings: key, node."""
+    prefix = COORDINATES - max(1, matches) + 1
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -148,8 +162,8 @@ def post(nodes: DataFrame, ranks) -> DataFrame:
 
         for batch in batches:
             own = tokens(batch)
-            order = np.sort(ranks[bucket_of(own).astype("i8")] << np.uint64(38) | own, axis=1)[:, :PREFIX] & np.uint64(2**38 - 1)
-            node = np.repeat(batch.column("node").to_numpy(), PREFIX)
+            order = np.sort(ranks[bucket_of(own).astype("i8")] << np.uint64(38) | own, axis=1)[:, :prefix] & np.uint64(2**38 - 1)
+            node = np.repeat(batch.column("node").to_numpy(), prefix)
             yield pa.RecordBatch.from_arrays([pa.array(order.ravel().astype("i8")), pa.array(node)], ["key", "node"])
 
     return nodes.select("node", "least").mapInArrow(run, "key long, node long")
@@ -181,16 +195,16 @@ def planes(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", "least", "odd").mapInArrow(run, "node long, n long, p0 long, p1 long, p2 long, p3 long, " + ", ".join(f"{c} long" for c in ODD))
 
 
-def may_link(a: str, b: str) -> Column:
-    """Sizes and odd sketches allow the similarity, and at least ``MATCHES`` coordinates agree in four bits.
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Sizes and odd sketches allow the similarity, and enough coordinates agree in four bits.
 
-    Linked sets have 100 i >= PERCENT u, so with d = u - i unequal and n + m = u + i shingles in all,
-    (100 + PERCENT) d <= (100 - PERCENT) (n + m).
+    Linked sets have 100 i >= percent u, so with d = u - i unequal and n + m = u + i shingles in all,
+    (100 + percent) d <= (100 - percent) (n + m).
     """
     of = lambda t, c: F.col(f"{t}.{c}")
-    sizes = 100 * F.least(of(a, "n"), of(b, "n")) >= PERCENT * F.greatest(of(a, "n"), of(b, "n"))
+    sizes = 100 * F.least(of(a, "n"), of(b, "n")) >= percent * F.greatest(of(a, "n"), of(b, "n"))
     cells = sum((F.bit_count(of(a, c).bitwiseXOR(of(b, c))) for c in ODD[1:]), F.bit_count(of(a, ODD[0]).bitwiseXOR(of(b, ODD[0]))))
-    return sizes & (unequal(a, b) <= COORDINATES - MATCHES) & ((100 + PERCENT) * cells <= (100 - PERCENT) * (of(a, "n") + of(b, "n")))
+    return sizes & (unequal(a, b) <= COORDINATES - matches_for(percent)) & ((100 + percent) * cells <= (100 - percent) * (of(a, "n") + of(b, "n")))
 
 
 def unequal(a: str, b: str) -> Column:
@@ -203,7 +217,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(rows.join(nodes, "node"), "texts")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Adds to pairs of nodes (a, b) whether they are linked on their full sets."""
     texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -219,7 +233,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     known = {a: shingles(ta.as_py())}
                 x, y = known[a], shingles(tb.as_py())
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+                linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
@@ -250,9 +264,9 @@ def contract(comps: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(comps.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "comps")
 
 
-def link_nodes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def link_nodes(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Classes of nodes (node, n, least, odd): node, comp."""
-    posted = post(nodes, rarity(nodes))
+    posted = post(nodes, rarity(nodes), matches_for(percent))
     shared = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     lists = materialize(posted.join(shared, "key"), "lists")
     bits = materialize(planes(nodes.join(lists.select("node").distinct(), "node")), "planes")
@@ -262,7 +276,7 @@ def link_nodes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     def put(pairs: DataFrame, k: str):
         nonlocal comps, tested
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        done = materialize(confirm(materialize(pairs, f"pairs-{k}"), docs), f"tested-{k}")
+        done = materialize(confirm(materialize(pairs, f"pairs-{k}"), docs, percent), f"tested-{k}")
         new = done.where("linked").select("a", "b")
         tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
         if new.isEmpty():
@@ -282,26 +296,26 @@ def link_nodes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         cand = own.join(leaders, "key").where(F.col("node") != F.col("leader")).select("node", "comp", "leader").distinct()
         cand = cand.join(comps.select(F.col("node").alias("leader"), F.col("comp").alias("leader_comp")), "leader").where(F.col("comp") != F.col("leader_comp"))
         x, y = bits.alias("x"), bits.alias("y")
-        near = cand.join(x, F.col("x.node") == cand["node"]).join(y, F.col("y.node") == cand["leader"]).where(may_link("x", "y"))
+        near = cand.join(x, F.col("x.node") == cand["node"]).join(y, F.col("y.node") == cand["leader"]).where(may_link("x", "y", percent))
         near = near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), cand["node"].alias("node"), F.struct(unequal("x", "y"), F.col("leader")).alias("far"))
         best = near.groupBy("node").agg(F.min(F.struct("far", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
         if not put(best, str(k)):
             break
     full = open_lists().join(bits, "node")
     a, b = full.alias("a"), full.alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & may_link("a", "b"))
+    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & may_link("a", "b", percent))
     put(rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "rest")
     return comps
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """Per row: row_ (its number in reading order), doc_id, n_shingles, component_id, kept, first."""
+def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per row: row_ (its number in reading order), doc_id, n_shingles, component_id, kept, first; ``percent``: the least similarity of a link."""
     pin_scans(docs.sparkSession)
     signed = materialize(sign(docs), "signed")
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_"))
     classes = materialize(signed.where("n > 0").groupBy("digest").agg(F.min("row_").alias("node"), lead.alias("lead")), "classes")
     nodes = signed.join(classes.select(F.col("node").alias("row_")), "row_").select(F.col("row_").alias("node"), "n", "least", "odd")
-    comps = link_nodes(materialize(nodes, "nodes"), docs)
+    comps = link_nodes(materialize(nodes, "nodes"), docs, percent)
     named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     leads = named.groupBy("comp").agg(F.min("lead").alias("lead"))
     named = named.select("digest", "comp").join(leads, "comp").select("digest", F.col("lead.doc_id").alias("component_id"), F.col("lead.row_").alias("first_row"))
