@@ -1,4 +1,4 @@
-"""Length that two routes share within a strip, and the nearest points of two shapes, as staged SQL expressions.
+"""Length that two routes share within a strip, as staged SQL expressions.
 
 A route inside the strip around another is one interval, because the strip (a rectangle with a half disc at
 either end) is convex: the hull of the intervals inside the rectangle and inside the two discs.
