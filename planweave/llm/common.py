@@ -13,12 +13,13 @@ WHITE = " \t\n\x0b\x0c\r"
 
 
 #: Rows of an Arrow batch: texts may be long, and a batch lies in memory several times.
-BATCH_ROWS = 2_000
+BATCH_ROWS, BATCH_BYTES = 2_000, 16_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the given folder; its session sends texts to Python in small batches."""
+    """A table of the given folder; its session sends texts to Python in small batches, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,13 +37,15 @@ def pin_scans(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder is set.
+    Only where the session has none and runs on one machine (tests) a temporary folder is set.
     """
     sc = spark.sparkContext
     there = sc._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
     named = sc.getConf().get("spark.checkpoint.dir", "")
+    if not named and not (sc.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="planweave-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -66,6 +69,16 @@ def materialize(df: DataFrame, what: str = "table", rows: int | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def number_rows(docs: DataFrame, columns: list) -> DataFrame:
+    """``columns`` of the rows with ``row_``, a number each: stored, so that every later scan sees the same numbers."""
+    return materialize(docs.select(*columns, F.monotonically_increasing_id().alias("row_")), "rows")
+
+
+def carried(keep: list[str], own: list[str]) -> list[str]:
+    """The columns to carry: those of ``keep`` but for names that the operator itself gives to a column."""
+    return [c for c in keep if c not in own]
+
+
 def words_of(text: Column) -> Column:
     """Array of the runs of other characters than ASCII white space; empty for null or blank text."""
     trimmed = F.btrim(text, F.lit(WHITE))
