@@ -16,7 +16,9 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +29,34 @@ SEQUENCE = 2048
 BUCKET = 40_000
 #: A bin under this share is opened again in the next round.
 FULL = 0.99
-#: Whole words whose ids a worker remembers.
+#: Words of letters whose ids a worker remembers, in each of two generations.
 REMEMBERED = 200_000
 #: Punctuation that the tokenizer always splits from a word of letters.
 TAIL = ".,;:!?"
-#: Characters of a text that are split into words at a time.
-SEGMENT = 1_000_000
+#: Words of letters that the tokenizer keeps whole and lower-cases letter by letter: ASCII, Latin-1 and Latin Extended-A but for the dotted capital I.
+LATIN = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}]*$"
+#: Bytes of text that are split into words at a time.
+SEGMENT = 4_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def gather(starts, sizes, flat):
+    """The runs of ``flat`` that begin at ``starts``, one after another."""
+    import numpy as np
+
+    total = int(sizes.sum())
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+    return flat[at]
+
+
 class WordIds:
-    """Token ids of texts as little-endian bytes, remembered by word.
+    """Token ids of texts, worked out once per distinct word of a block.
 
-    The tokenizer always cuts at white space, so a text's ids are those of its words put together. Words
-    of letters, perhaps with punctuation after them, are looked up by their lower case; the rest go through
-    the whole tokenizer.
+    The tokenizer always cuts at white space, so a text's ids are those of its words put together. Words of Latin
+    letters, perhaps with punctuation after them, are looked up by their lower case, which a worker remembers in two
+    generations: a full one becomes the old one, and what is found in the old one lives on. The rest go through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,64 +74,109 @@ class WordIds:
         self.ends = np.zeros(self.plain.get_vocab_size(), bool)
         for token, i in self.plain.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, words: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(words, add_special_tokens=False)]
 
-    def encode_cores(self, cores: list[str]) -> Iterator[tuple[str, bytes]]:
+    def encode_cores(self, cores: list[str]) -> list[bytes]:
         """Words of lower-case Latin letters; each ends with its first token that is a word's last."""
         import numpy as np
 
-        ids = np.asarray(self.plain.encode(" ".join(cores), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
+        parts = [" ".join(cores[k : k + 2000]) for k in range(0, len(cores), 2000)]
+        ids = np.concatenate([np.asarray(x.ids, "<u4") for x in self.plain.encode_batch_fast(parts, add_special_tokens=False)])
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(ends) != len(cores):
             raise ValueError("a word's ids don't end where the word does")
-        data, a = ids.tobytes(), 0
-        for core, b in zip(cores, ends.tolist(), strict=True):
-            yield core, data[4 * a : 4 * b]
-            a = b
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words = {"": b""}
-        if len(self.cores) > REMEMBERED:
-            self.cores = {"": b""}
-        simple, other = [], []
-        for w in words:
-            if w in self.words:
-                continue
-            core = w.rstrip(TAIL)
-            low = core.lower()
-            if low.isalpha() and (low.isascii() or max(low) < "ƀ") or not core:
-                simple.append((w, low, w[len(core) :]))
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def ids_of(self, cores: list[str]) -> list[bytes]:
+        """Of distinct words of lower-case Latin letters, perhaps an empty one."""
+        known, old = self.cores, self.old
+        found = [known.get(c) or old.get(c) if c else b"" for c in cores]
+        if new := [i for i, x in enumerate(found) if x is None]:
+            for i, x in zip(new, self.encode_cores([cores[i] for i in new]), strict=True):
+                found[i] = x
+        known.update(zip(cores, found, strict=True))
+        if len(known) > REMEMBERED:
+            self.cores, self.old = {}, known
+        return found
+
+    def table(self, words):
+        """Of distinct words: where their first and second part begin in one run of ids, the sizes of both, and the run."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        core = pc.utf8_rtrim(words, TAIL)
+        simple = pc.match_substring_regex(core, LATIN)
+        cores = pc.utf8_lower(core.filter(simple)).dictionary_encode()
+        whole = words.filter(simple)
+        n_tail = pc.subtract(pc.binary_length(whole), pc.binary_length(core.filter(simple))).to_numpy()
+        tails = [whole[i].as_py()[-n_tail[i] :] for i in np.flatnonzero(n_tail)]
+        kinds = {t: k for k, t in enumerate(dict.fromkeys(tails), 1)}
+        entries = self.ids_of(cores.dictionary.to_pylist())
+        first, second = np.zeros(len(words), "i8"), np.zeros(len(words), "i8")
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        first[is_simple] = cores.indices.to_numpy()
+        at_tail = len(entries)
+        entries += [b"", *self.encode(list(kinds))]
+        tail = np.full(len(whole), at_tail)
+        tail[n_tail > 0] = at_tail + np.fromiter(map(kinds.__getitem__, tails), "i8", len(tails))
+        second[is_simple], second[~is_simple] = tail, at_tail
+        first[~is_simple] = len(entries) + np.arange(int((~is_simple).sum()))
+        entries += self.encode(words.filter(pc.invert(simple)).to_pylist())
+        sizes = np.fromiter(map(len, entries), "i8", len(entries)) // 4
+        starts = np.cumsum(sizes) - sizes
+        return starts[first], sizes[first], starts[second], sizes[second], np.frombuffer(b"".join(entries), "<u4")
+
+    def block(self, texts):
+        """Ids of all texts of an Arrow array without nulls, and how many each has."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        codes, bounds = coded.indices.to_numpy(), split.offsets.to_numpy().astype("i8")
+        bounds = bounds - bounds[0]
+        a, n_a, b, n_b, flat = self.table(coded.dictionary)
+        starts, sizes = np.stack([a, b], axis=1)[codes].ravel(), np.stack([n_a, n_b], axis=1)[codes].ravel()
+        ends = np.concatenate([[0], np.cumsum(sizes)])[2 * bounds]
+        return gather(starts, sizes, flat), np.diff(ends)
+
+    def of_batch(self, texts) -> Iterator[bytes]:
+        """Ids of each text of an Arrow array of strings, as little-endian bytes; texts are taken in blocks of bounded size."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sizes, at = pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 0
+        while at < len(texts):
+            to, held = at, 0
+            while to < len(texts) and (to == at or held + sizes[to] <= SEGMENT):
+                held, to = held + sizes[to], to + 1
+            if held <= SEGMENT:
+                ids, counts = self.block(pc.fill_null(texts.slice(at, to - at), ""))
+                data, a = ids.tobytes(), 0
+                for n in counts.tolist():
+                    yield data[a : a + 4 * n]
+                    a += 4 * n
             else:
-                other.append(w)
-        if tails := [t for t in {t for _, _, t in simple} if t not in self.cores]:
-            self.cores.update(zip(tails, self.encode(tails), strict=True))
-        if cores := [c for c in {c for _, c, _ in simple} if c not in self.cores]:
-            self.cores.update(self.encode_cores(cores))
-        known = self.cores
-        self.words.update((w, known[c] + known[t]) for w, c, t in simple)
-        self.words.update(zip(other, self.encode(other), strict=True))
-
-    def of(self, text: str) -> bytes:
-        done, at = [], 0
-        while at < len(text):
-            to = len(text) if len(text) - at <= SEGMENT else text.find(" ", at + SEGMENT)
-            to = to if to >= 0 else len(text)
-            words = text[at:to].replace("\n", " ").split(" ")
-            known = self.words
-            try:
-                done.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                self.learn(set(words))
-                done.append(b"".join(map(self.words.__getitem__, words)))
+                yield b"".join(self.block(pa.array([part]))[0].tobytes() for part in cut_long(texts[at].as_py()))
             at = to
-        return b"".join(done)
+
+
+def cut_long(text: str) -> Iterator[str]:
+    """Parts of a text, cut at spaces."""
+    at, step = 0, SEGMENT // 4
+    while at < len(text):
+        to = text.find(" ", at + step)
+        to = to if to >= 0 else len(text)
+        yield text[at:to]
+        at = to
 
 
 def word_ids(path: str | None) -> WordIds:
@@ -140,8 +199,8 @@ def tokenize(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | None = No
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * with_ids
         for batch in batches:
             rows: list[list] = [[] for _ in names]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                data = own.of(text.as_py() or "") + b"\0\0\0\0"
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), own.of_batch(batch.column("text")), strict=True):
+                data = ids + b"\0\0\0\0"
                 for k, a in enumerate(range(0, len(data), 4 * length)):
                     part = data[a : a + 4 * length]
                     row = [doc, k, a // 4, len(part) // 4, zlib.crc32(part)]
@@ -208,9 +267,9 @@ def fill(lengths: list[int], size: int) -> list[list[int]]:
 
 def packer(length: int, base: int, last: bool):
     """Packs one bucket; unless it is the last round, pieces of bins that are not full get sequence -1."""
+    import numpy as np
 
-    def fit(key: tuple, group):
-        import numpy as np
+    def fit(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
 
         group = group.sort_values(["length", "row_"], kind="stable").reset_index(drop=True)
         bins = fill(group["length"].tolist(), length)
