@@ -1,38 +1,46 @@
 """Main-text extraction by text-to-tag ratio.
 
-``html.parser`` streams the events of a page. Block tags break its text into lines; a line's ratio is its
-characters over the tags inside it. Ratios are smoothed by a Gaussian over neighbouring lines of one part of
-the page, and lines are clustered by a threshold, a share of the smoothed ratios' deviation and mean. Lines in
-parts that by their tag or their class and id are no article (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments) and scripts, styles and comments are never content. If an article or main
-element holds most of the text the threshold finds, the region is that element, whole. If not, lines below the
-threshold are kept where they stand among lines of content, children of one container.
+``html.parser`` streams the events of a page. Block tags break its text into lines; a line's ratio is its characters
+over the tags inside it, and counts ``BOOST`` times inside an article or main element. Ratios are smoothed by a Gaussian
+over neighbouring lines of one group, and lines are clustered by a threshold, a share of the smoothed
+ratios' deviation and mean: lines above it are content. Around them regions grow: lines below the threshold are kept
+where they stand in one group with content, between lines of it, or next to them as blocks of their own that are not
+all links. A group is an article or main element with what is in it, or else the children of one container, cut where a
+part begins or ends that is no article.
+Lines in parts that by their tag or their class and id are no article (menus, headers, footers, sidebars, notices,
+adverts, forms, reader comments) and scripts, styles and comments are never content.
 
 A class or id says less than a tag: main elements, and article elements that are no comments or teasers, stand out
 of a part that only its class or id marks, and if nothing else is left, what only a class or id marks is content.
 
 Defined results: null, empty and malformed pages give the text found, or an empty string; an unclosed tag
-ends with the block around it; only the columns named in ``keep`` are carried; rows are treated one by one.
+ends with the block around it; only the columns named in ``keep`` are carried, but for one named ``text``; rows are
+treated one by one, so repeated ones alike; an empty table gives no rows; a page of any length and depth is one task's
+row, in time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried
+
 SIGMA = 1.0
 #: Share of mean plus deviation that a smoothed ratio must reach.
 SHARE = 0.3
+#: How many times the ratio of a line counts in an article or main element.
+BOOST = 8.0
 
 #: Elements by how they are treated.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg math object iframe canvas textarea select".split())
+HIDDEN = frozenset("script style noscript template head title svg object iframe canvas textarea select".split())
 ASIDE = frozenset("nav header footer aside form menu dialog button".split())
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
 NAMED = re.compile(
@@ -65,39 +73,62 @@ class Line:
     linked: bool  # all of it is links
 
 
+@dataclass
+class Open:
+    """An open element and what holds inside it."""
+
+    tag: str = ""
+    hidden: bool = False
+    aside: int = 0
+    region: int = 0
+    box: tuple[int, int, bool] = (0, 0, True)
+    link: bool = False
+    block: int = -1  # place of the nearest open block, this element included
+
+
+OUTSIDE = Open()
+
+
 class Lines(HTMLParser):
     """Lines of text with the tags inside them, in page order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, int, tuple[int, int, bool], bool]] = []  # tag, hidden, aside, region, box, link
+        self.stack: list[Open] = []
+        self.places: dict[str, list[int]] = {}  # of the open elements of each tag
         self.lines: list[Line] = []
         self.buffer: list[str] = []
         self.tags = self.regions = self.part = self.boxes = 0
         self.linked = True
 
-    def state(self) -> tuple[bool, int, int, tuple[int, int, bool], bool]:
-        return self.stack[-1][1:] if self.stack else (False, 0, 0, (0, 0, True), False)
+    def inner(self) -> Open:
+        return self.stack[-1] if self.stack else OUTSIDE
+
+    def push(self, own: Open) -> None:
+        if own.tag in BLOCK:
+            own.block = len(self.stack)
+        self.places.setdefault(own.tag, []).append(len(self.stack))
+        self.stack.append(own)
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.buffer)).strip()
         if text:
-            _, aside, region, (box, outer, block), _ = self.state()
-            self.lines.append(Line(text, self.tags, aside, region, self.part, box if block else outer, block, self.linked))
+            at = self.inner()
+            box, outer, block = at.box
+            self.lines.append(Line(text, self.tags, at.aside, at.region, self.part, box if block else outer, block, self.linked))
         self.buffer, self.tags, self.linked = [], 0, True
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "body" or (self.stack and self.stack[-1][0] == "head") and tag not in IN_HEAD:  # the end tag of a head may be left out
-            self.end_head()
-        if self.stack and self.stack[-1][1]:  # inside hidden text only its end counts
-            if tag not in VOID and tag in IN_HEAD and self.stack[-1][0] == "head":
-                self.stack.append((tag, *self.state()))
-            elif tag not in VOID and tag == self.stack[-1][0]:
-                self.stack.append((tag, *self.state()))
+        if tag == "body" or self.inner().tag == "head" and tag not in IN_HEAD:  # the end tag of a head may be left out
+            self.pop_to("head")
+        at = self.inner()
+        if at.hidden:  # inside hidden text only its end counts
+            if tag not in VOID and (tag in IN_HEAD and at.tag == "head" or tag == at.tag):
+                self.push(replace(at, tag=tag))
             return
         if tag in BLOCK:
             self.flush()
-            while self.stack and tag in CLOSED_BY.get(self.block(), ()):
+            while tag in CLOSED_BY.get(self.block(), ()):
                 self.pop_to(self.block())
         else:
             self.tags += 1
@@ -105,8 +136,8 @@ class Lines(HTMLParser):
             self.buffer.append(" ")
         if tag in VOID:
             return
-        hidden, aside, region, box, link = self.state()
-        own = dict(attrs)
+        at, own = self.inner(), dict(attrs)
+        aside, region, box = at.aside, at.region, at.box
         names = f"{own.get('class') or ''} {own.get('id') or ''} {own.get('role') or ''}"
         if tag in ("article", "main") and not region:
             self.regions += 1
@@ -128,15 +159,15 @@ class Lines(HTMLParser):
             box = (self.boxes, box[0], False)
         elif tag in BLOCK:
             box = (box[0], box[1], True)
-        self.stack.append((tag, hidden or tag in HIDDEN, aside, region, box, link or tag == "a"))
+        self.push(Open(tag, at.hidden or tag in HIDDEN, aside, region, box, at.link or tag == "a", at.block))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
         else:
             self.tags += 1
-        if any(x[0] == tag for x in self.stack):
-            if tag in BLOCK or not any(x[0] in BLOCK for x in self.stack[self.last(tag) :]):
+        if places := self.places.get(tag):
+            if tag in BLOCK or places[-1] > self.stack[-1].block:  # an inline tag ends nothing outside its block
                 self.pop_to(tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -145,27 +176,27 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         blank = not data.strip()
-        if not blank and self.stack and self.stack[-1][0] == "head":
-            self.end_head()
-        hidden, *_, link = self.state()
-        if not hidden:
-            self.buffer.append(data)
-            self.linked = self.linked and (link or blank)
-
-    def end_head(self) -> None:
-        if any(x[0] == "head" for x in self.stack):
+        if not blank and self.inner().tag == "head":
             self.pop_to("head")
+        at = self.inner()
+        if not at.hidden:
+            self.buffer.append(data)
+            self.linked = self.linked and (at.link or blank)
 
     def block(self) -> str:
-        return next((x[0] for x in reversed(self.stack) if x[0] in BLOCK), "")
-
-    def last(self, tag: str) -> int:
-        return max(i for i, x in enumerate(self.stack) if x[0] == tag)
+        return self.stack[self.stack[-1].block].tag if self.stack and self.stack[-1].block >= 0 else ""
 
     def pop_to(self, tag: str) -> None:
-        if any(x[2] for x in self.stack[self.last(tag) :]):
+        """Ends the last open element of this tag, if there is one, and all in it."""
+        if not (places := self.places.get(tag)):
+            return
+        to, aside = places[-1], 0
+        while len(self.stack) > to:
+            gone = self.stack.pop()
+            self.places[gone.tag].pop()
+            aside = aside or gone.aside
+        if aside:
             self.part += 1
-        del self.stack[self.last(tag) :]
 
 
 def lines_of(html: str | None) -> list[Line]:
@@ -176,11 +207,16 @@ def lines_of(html: str | None) -> list[Line]:
     return own.lines
 
 
-def smooth(ratios: list[float], parts: list[int], sigma: float) -> list[float]:
-    """Gaussian mean of each line's neighbours in its own part of the page."""
+def groups_of(lines: list[Line]) -> list[tuple[int, int]]:
+    return [(x.region, 0 if x.region else x.box) for x in lines]
+
+
+def smooth(ratios: list[float], groups: list, sigma: float) -> list[float]:
+    """Gaussian mean of each line's neighbours in its own group."""
     import numpy as np
 
-    x, part = np.array(ratios), np.array(parts)
+    numbers: dict = {}
+    x, part = np.array(ratios), np.array([numbers.setdefault(g, len(numbers)) for g in groups])
     total, weight = np.zeros(len(x)), np.zeros(len(x))
     for d in range(-int(3 * sigma), int(3 * sigma) + 1):
         w = float(np.exp(-(d**2) / (2 * sigma**2)))
@@ -192,13 +228,13 @@ def smooth(ratios: list[float], parts: list[int], sigma: float) -> list[float]:
     return (total / np.maximum(weight, 1e-12)).tolist()
 
 
-def among(lines: list[Line], found: list[bool]) -> list[bool]:
-    """``found``, and the lines between found ones of one container, and next to them if they are blocks of their own and not all links."""
-    boxes: dict[int, list[int]] = {}
-    for i, x in enumerate(lines):
-        boxes.setdefault(x.box, []).append(i)
+def grow(lines: list[Line], found: list[bool]) -> list[bool]:
+    """``found``, and the lines between found ones of one group, and next to them if they are blocks of their own and not all links."""
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, group in enumerate(groups_of(lines)):
+        groups.setdefault(group, []).append(i)
     out = list(found)
-    for own in boxes.values():
+    for own in groups.values():
         hits = [k for k, i in enumerate(own) if found[i]]
         if not hits:
             continue
@@ -213,31 +249,27 @@ def among(lines: list[Line], found: list[bool]) -> list[bool]:
     return out
 
 
+def cluster(lines: list[Line], sigma: float = SIGMA, share: float = SHARE) -> list[bool]:
+    """Whether each line's smoothed ratio lies above the threshold."""
+    ratios = [len(x.text) / (1 + x.tags) * (BOOST if x.region else 1) for x in lines]
+    smoothed = smooth(ratios, [(x.part, *g) for x, g in zip(lines, groups_of(lines), strict=True)], sigma)
+    mean = sum(smoothed) / len(smoothed)
+    deviation = (sum((x - mean) ** 2 for x in smoothed) / len(smoothed)) ** 0.5
+    return [x >= share * (mean + deviation) / 2 for x in smoothed]
+
+
 def extract(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> str:
     """The main text of one page."""
     every = lines_of(html)
     lines = next((own for k in (0, NAME_ASIDE, OTHERS_ASIDE) if (own := [x for x in every if x.aside <= k])), [])
     if not lines:
         return ""
-    smoothed = smooth([len(x.text) / (1 + x.tags) for x in lines], [x.part for x in lines], sigma)
-    mean = sum(smoothed) / len(smoothed)
-    deviation = (sum((x - mean) ** 2 for x in smoothed) / len(smoothed)) ** 0.5
-    least = share * (mean + deviation) / 2
-    found = [s >= least for s in smoothed]
-    sizes: dict[int, int] = {}
-    for x in (x for x, f in zip(lines, found, strict=True) if f):
-        sizes[x.region] = sizes.get(x.region, 0) + len(x.text)
-    inside = {r: n for r, n in sizes.items() if r}
-    if inside and 2 * sum(inside.values()) >= sum(sizes.values()):
-        content = [x for x in lines if x.region in inside]
-    else:
-        content = [x for x, f in zip(lines, among(lines, found), strict=True) if f]
-    return " ".join(x.text for x in content)
+    return " ".join(x.text for x, f in zip(lines, grow(lines, cluster(lines, sigma, share)), strict=True) if f)
 
 
 def main_text(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (page_id and url if not given) and ``text`` for every page."""
-    keep = keep or ["page_id", "url"]
+    keep = carried(keep or ["page_id", "url"], ["text", "html_"])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
