@@ -1,16 +1,19 @@
 """Language identification by a linear-chain conditional random field over words.
 
 Each word of a text gets a label; emissions come from affixes, character n-grams, the word itself and
-lexicons of frequent words, transitions between the labels of neighbours are learned, and forward-backward
-gives each word's posterior, so that switches inside a text are seen. A document's language is that of the
-largest mean posterior, mixed with that of its opening words in a proportion chosen on the training rows.
+lexicons of frequent words, the label of a text's beginning and transitions between the labels of neighbours are
+learned, and forward-backward gives each word's posterior, so that switches inside a text are seen. A document's
+language is that of the largest mean posterior over all its words that hold a letter. A word of over ``PIECE``
+characters is a run of pieces of at most that length, each a link of the chain, so that all of it is seen.
 
-The field is fitted on at most ``SAMPLE`` labelled rows of each language (of at most ``SAMPLE_CHARS``
-characters), first in the order of a hash of the text; chains of several rows in a row teach the transitions.
+The field is fitted on at most ``SAMPLE`` labelled rows of each language, first in the order of a hash of the text; a
+text of over ``SAMPLE_CHARS`` characters gives that many, in passages of ``PASSAGE`` spread evenly over all of it.
+Chains of several rows in a row teach the transitions.
 
 Defined results: a null text and one without a letter get ``und`` and score 1; labels are the distinct
 non-null ones of the training rows, and without any all texts get ``und``, score 0; repeated rows are treated
-one by one; chains are cut every ``CHAIN`` words to bound memory; an empty table gives no rows.
+one by one; a chain is a whole text, of whatever length, and lies in one task's memory; only the columns named in
+``keep`` are carried, but for names of the columns that are added; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,21 +23,18 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import carried, materialize
 
 SAMPLE = 300
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS, PASSAGE = 20_000, 1_000
 LEXICON = 300
 HASH_BITS = 17
-#: Characters of a word that n-grams see, the marks of both ends included; of longer words the beginning and the end.
-WIDTH = 24
+#: Characters of a link of the chain, and of these with the marks of beginning and end.
+PIECE, WIDTH = 22, 24
 EPOCHS = 3
-CHAIN = 200_000
-#: Opening words that count for the language a text begins in.
-HEAD = 30
 #: Cells (chains times words) that are worked on at a time.
 CELLS = 400_000
 REMEMBERED = 200_000
@@ -46,8 +46,7 @@ def features(cores: list[str], lexicons: list[frozenset]):
     beginning and end (those at a mark are affixes), affixes of three, the word itself and the lexicons that hold it."""
     import numpy as np
 
-    short = [c if len(c) <= WIDTH - 2 else c[: WIDTH - 6] + c[-4:] for c in cores]
-    x = np.array([f"<{c}>" for c in short], f"U{WIDTH}").view("u4").reshape(len(short), WIDTH).astype("u8")
+    x = np.array([f"<{c}>" for c in cores], f"U{WIDTH}").view("u4").reshape(len(cores), WIDTH).astype("u8")
     n = (x > 0).sum(axis=1)
     width = int(n.max(initial=2))
     rows = np.arange(len(x))
@@ -79,6 +78,20 @@ def core_of(word: str) -> str:
     return word.strip(".,;:!?\"'()[]{}«»¿¡…#*$%&|").lower()
 
 
+def links_of(text: str) -> tuple[list[str], list[int] | None]:
+    """The words of a text, long ones in pieces, and the number of each link's word (None: each link is a word)."""
+    words = text.split()
+    if not any(len(w) > PIECE and len(core_of(w)) > PIECE for w in words):
+        return words, None
+    links, owner = [], []
+    for i, w in enumerate(words):
+        core = w if len(w) <= PIECE else core_of(w)
+        parts = [w] if len(core) <= PIECE else [core[k : k + PIECE] for k in range(0, len(core), PIECE)]
+        links += parts
+        owner += [i] * len(parts)
+    return links, owner
+
+
 @dataclass
 class Field:
     labels: list
@@ -86,7 +99,6 @@ class Field:
     weights: object = None  # features x labels
     transitions: object = None
     start: object = None
-    head_share: float = 0.0
 
 
 class Emitter:
@@ -132,7 +144,7 @@ def summed(weights, rows):
 
 
 def posteriors(emissions: list, field: Field, moves=None) -> list:
-    """Forward-backward over all chains at once, the longest first; a posterior of labels for each word.
+    """Forward-backward over all chains at once, the longest first; a posterior of labels for each link.
 
     ``moves``, if given, is a matrix that the posteriors of neighbouring labels are added to.
     """
@@ -186,11 +198,11 @@ def batches_of(lengths: list[int]) -> Iterator[list[int]]:
 
 
 def train(texts: list[list[str]], gold: list[int], labels: list, seed: int = 6) -> Field:
-    """Stochastic gradient (Adagrad) on the likelihood of the labels of words."""
+    """Stochastic gradient (Adagrad) on the likelihood of the labels of links."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    cores = [[c for w in words if LETTER.search(c := core_of(w))] for words in texts]
+    cores = [[c for w in words if LETTER.search(c := core_of(w)[:PIECE])] for words in texts]
     counts = [Counter(c for own, y in zip(cores, gold, strict=True) if y == k for c in own) for k in range(len(labels))]
     field = Field(labels, [frozenset(w for w, _ in c.most_common(LEXICON)) for c in counts])
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for own in cores for w in own))}
@@ -200,7 +212,7 @@ def train(texts: list[list[str]], gold: list[int], labels: list, seed: int = 6)
     k = len(labels)
     field.weights = np.zeros((1 << HASH_BITS, k), "f4")
     field.transitions, field.start = np.zeros((k, k)), np.zeros(k)
-    squares = [np.full_like(field.weights, 1e-2), np.full((k, k), 1.0)]
+    squares = [np.full_like(field.weights, 1e-2), np.full((k, k), 1.0), np.full(k, 1.0)]
     chains = [np.array([vocabulary[w] for w in own], "i4") for own in cores]
     there = [i for i, c in enumerate(chains) if len(c)]
     for _ in range(EPOCHS):
@@ -218,13 +230,14 @@ def train(texts: list[list[str]], gold: list[int], labels: list, seed: int = 6)
             scores = np.zeros((len(lists), k), "f4")
             for j in range(k):
                 scores[:, j] = np.bincount(owner[mine], field.weights[flat[mine], j], len(lists))
-            gradient, moves = np.zeros((len(lists), k)), np.zeros((k, k))
+            gradient, moves, begin = np.zeros((len(lists), k)), np.zeros((k, k)), np.zeros(k)
             for group in batches_of([len(c) for c, _ in part]):
                 expected = np.zeros((k, k))
                 for i, p in zip(group, posteriors([scores[part[i][0]] for i in group], field, expected), strict=True):
                     words, y = part[i]
                     d = -p.astype("f8")
                     d[np.arange(len(y)), y] += 1
+                    begin += d[0]
                     for j in range(k):
                         gradient[:, j] += np.bincount(words, d[:, j], len(lists))
                     np.add.at(moves, (y[:-1], y[1:]), 1)
@@ -237,34 +250,26 @@ def train(texts: list[list[str]], gold: list[int], labels: list, seed: int = 6)
             g = moves / total * 50
             squares[1] += g**2
             field.transitions = np.clip(field.transitions + 0.3 * g / np.sqrt(squares[1]), -6, 6)
+            g = begin / len(part)
+            squares[2] += g**2
+            field.start = np.clip(field.start + 0.3 * g / np.sqrt(squares[2]), -6, 6)
     return field
 
 
 def label_words(texts: list[str | None], emitter: Emitter) -> list:
-    """For each text: its words' posteriors and which words hold a letter; None without any letter."""
+    """For each text its links' posteriors, which links hold a letter, and the links' words; None without any letter."""
     out: list = [None] * len(texts)
-    chains: list = []
-    split = [text.split() if text and LETTER.search(text) else [] for text in texts]
-    codes, first = emitter.codes([w for words in split for w in words]), 0
-    for i, words in enumerate(split):
-        for at in range(first, first + len(words), CHAIN):
-            part = codes[at : min(at + CHAIN, first + len(words))]
-            chains.append((i, emitter.scores[part], emitter.letters[part]))
-        first += len(words)
-    for group in batches_of([len(c[1]) for c in chains]):
-        for j, p in zip(group, posteriors([chains[j][1] for j in group], emitter.field), strict=True):
-            i = chains[j][0]
-            out[i] = (out[i] or []) + [(j, p, chains[j][2])]
-    return [x and sorted(x, key=lambda y: y[0]) for x in out]
-
-
-def shares(found: list):
-    """Mean posterior of all words with letters, and of the first ones."""
-    import numpy as np
-
-    p, has = np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found])
-    p = p[has] if has.any() else p
-    return p.mean(axis=0), p[:HEAD].mean(axis=0)
+    split = [links_of(text) if text and LETTER.search(text) else ([], None) for text in texts]
+    codes, first, chains = emitter.codes([w for links, _ in split for w in links]), 0, []
+    for i, (links, _) in enumerate(split):
+        if links:
+            chains.append((i, codes[first : first + len(links)]))
+        first += len(links)
+    for group in batches_of([len(c) for _, c in chains]):
+        for j, p in zip(group, posteriors([emitter.scores[chains[j][1]] for j in group], emitter.field), strict=True):
+            i, part = chains[j]
+            out[i] = (p, emitter.letters[part], split[i][1])
+    return out
 
 
 def predict(texts: list[str | None], emitter: Emitter) -> tuple[list, list]:
@@ -278,44 +283,33 @@ def predict(texts: list[str | None], emitter: Emitter) -> tuple[list, list]:
                 labels.append("und")
                 scores.append(1.0)
                 continue
-            whole, head = shares(found)
-            mixed = (1 - field.head_share) * whole + field.head_share * head
-            k = int(mixed.argmax())
+            p, letters, _ = found
+            mean = (p[letters] if letters.any() else p).mean(axis=0)
+            k = int(mean.argmax())
             labels.append(field.labels[k])
-            scores.append(float(min(1.0, max(0.0, mixed[k]))))
+            scores.append(float(min(1.0, max(0.0, mean[k]))))
     return labels, scores
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """Learn from ``text`` and non-null ``lang`` of ``docs``."""
-    import numpy as np
-
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("lang", F.xxhash64("text", F.lit(6)).alias("h"), "text")
-    langs = sorted(r.lang for r in docs.select("lang").where("lang is not null").distinct().collect())
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("text", F.lit(6)).alias("h"), "text")
+    order = Window.partitionBy("lang").orderBy("h")  # only the top of each label leaves a task
+    chosen = known.select("lang", "h").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).drop("rank")
+    rows = known.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    n, passages = F.length("text"), SAMPLE_CHARS // PASSAGE
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(passages - 1)), lambda i: F.substring("text", F.floor(i * (n - PASSAGE) / (passages - 1)).cast("int") + 1, F.lit(PASSAGE))), " ")
+    rows = materialize(rows.select("lang", F.when(n <= SAMPLE_CHARS, F.col("text")).otherwise(spread).alias("text"), "h"), "language-sample").orderBy("lang", "h").collect()
+    langs = sorted({r.lang for r in rows})
     if not langs:
         return Field([], [])
-    chosen = None
-    for lang in langs:  # hashes alone are sorted, a bounded top of each label
-        top = known.where(F.col("lang") == lang).select("lang", "h").distinct().orderBy("h").limit(sample)
-        chosen = top if chosen is None else chosen.union(top)
-    chosen = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    rows = materialize(chosen, "language-sample").collect()
     at = {x: i for i, x in enumerate(langs)}
-    field = train([r.text.split() for r in rows], [at[r.lang] for r in rows], langs)
-    emitter, both = Emitter(field), []
-    for found, r in zip(label_words([r.text for r in rows], emitter), rows, strict=True):
-        if found:
-            both.append((*shares(found), at[r.lang]))
-    if both:
-        whole, head, gold = (np.array(x) for x in zip(*both, strict=True))
-        right = {s: int((((1 - s) * whole + s * head).argmax(axis=1) == gold).sum()) for s in (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7)}
-        field.head_share = max(right, key=lambda s: (right[s], -s))
-    return field
+    return train([links_of(r.text)[0] for r in rows], [at[r.lang] for r in rows], langs)
 
 
 def identify(docs: DataFrame, field: Field, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (doc_id if not given), lang_pred and score for every document."""
-    keep = keep or ["doc_id"]
+    keep = carried(keep or ["doc_id"], ["lang_pred", "score", "text_"])
     sent = docs.sparkSession.sparkContext.broadcast(field)  # of a size fixed by HASH_BITS, labels and LEXICON
 
     def run(batches: Iterator) -> Iterator:
@@ -337,7 +331,11 @@ def spans(texts: list[str | None], emitter: Emitter) -> list[list[tuple[str, int
 
     out = []
     for found in label_words(texts, emitter):
-        best = np.concatenate([p.argmax(axis=1) for _, p, _ in found]) if found else np.zeros(0, "i8")
+        best = np.zeros(0, "i8")
+        if found:
+            p, _, owner = found
+            first = np.flatnonzero(np.diff(owner, prepend=-1)) if owner else np.arange(len(p))  # a word's pieces count together
+            best = np.add.reduceat(p, first, axis=0).argmax(axis=1)
         cuts = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(best)] if len(best) else [0]
         out.append([(emitter.field.labels[best[a]], a, b - 1) for a, b in zip(cuts, cuts[1:])])
     return out
