@@ -1,14 +1,16 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-A lexicon of words and word beginnings that mark toxic texts is learned on one half of a sample of labelled
-rows; trees and calibration are fitted on the other half, so that chance words of the first do not mislead
-them. Features are densities of lexicon hits, hits near second-person words, capitals, punctuation and
-obfuscated spellings. The sample holds at most ``SAMPLE`` rows of each label (of at most ``SAMPLE_CHARS``
-characters), first in the order of a hash of the id; all else covers all rows and whole texts.
-
-Defined results: a null text scores as an empty one; a label that is null or has no document is left out;
-repeated rows are scored one by one; with no labelled rows every score is 0, with labels of one kind only
-every score is that label; columns are carried only if named in ``keep``; an empty table gives no rows.
+A lexicon holds the words and word beginnings that mark toxic texts. Features are densities of lexicon hits, hits near
+second-person words, capitals, punctuation and obfuscated spellings. All is cross-fitted, whatever the number of rows:
+the features that trees learn from come from a lexicon of the other half of the sample, so that chance words do not
+mislead them, and the calibration from margins of trees that were fitted on the other thirds. The final lexicon and
+trees are then fitted on all of the sample, which holds at most ``SAMPLE`` rows of each label, first in the order of a
+hash of the id; all else covers all rows, and texts are whole everywhere.
+
+Defined results: a null text scores as an empty one; a label that is null or has no document is left out, of
+contradicting labels of one document the toxic one counts; repeated rows are scored one by one; with no labelled rows
+every score is 0, with labels of one kind only every score is that label; columns are carried only if named in
+``keep``, but for one named ``score`` or ``text_``; an empty table gives no rows; a text of any length is one task's row.
 """
 
 from __future__ import annotations
@@ -21,10 +23,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import carried, materialize
 
 SAMPLE = 6_000
-SAMPLE_CHARS = 60_000
 #: Lengths of the beginnings of words that the lexicon may hold.
 STEMS = (3, 4, 5, 6)
 LEXICON = 2_000
@@ -32,6 +33,8 @@ TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 #: Words between a hit and a second-person word that count as near.
 NEAR = 5
 REMEMBERED = 200_000
+#: Parts of the sample that the calibration is fitted across.
+FOLDS = 3
 
 #: Second-person words of four languages.
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros contigo".split())
@@ -234,18 +237,19 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     return Lexicon(frozenset(r.token for r in rows if r.kind == "w"), frozenset(r.token for r in rows if r.kind == "s"))
 
 
-def featurize(rows: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
+def featurize(rows: DataFrame, lexicon: Lexicon, keep: list) -> DataFrame:
     """``keep`` and ``features``."""
+    kept = rows.select(*keep, F.col("text").alias("text_"))
+    names = kept.columns[:-1]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         own = Featurizer(lexicon)
         for batch in batches:
-            x = [own.of(t) for t in batch.column("text_").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "features"])
+            x = [own.of(t.as_py()) for t in batch.column("text_")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(x, pa.list_(pa.float64()))], [*names, "features"])
 
-    kept = rows.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("text_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text_")
     return kept.mapInArrow(run, f"{schema}, features array<double>")
 
@@ -254,34 +258,35 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from ``labels`` (doc_id, toxic) and the texts of ``docs``."""
     import numpy as np
 
-    known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("y"))
+    known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    known = materialize(known.where(F.col("doc_id").isNotNull()), "labels")
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return Model(Lexicon(), constant=float(max(totals, default=0)))
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(sample) for y in (0, 1)]
-    chosen = picked[0].union(picked[1]).dropDuplicates(["doc_id"])  # at most twice ``sample`` rows of two numbers
-    rows = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = materialize(rows.dropDuplicates(["text", "y"]).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))), "toxic-sample")
-    few = rows.where("y = 1").count() < 200  # too few to halve
-    half = lambda k: rows if few else rows.where(F.col("half") == k)
-    lexicon = learn_lexicon(half(0).select("text", "y"))
-    data = featurize(half(1), lexicon, ["y"]).toPandas()
+    chosen = picked[0].union(picked[1])  # at most twice ``sample`` rows of two numbers
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["text", "y"])
+    rows = materialize(rows.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))), "toxic-sample")
+    half = lambda k: rows.where(F.col("half") == k)
+    parts = [featurize(half(k), learn_lexicon(half(1 - k).select("text", "y")), ["y", F.xxhash64("text").alias("h")]) for k in (0, 1)]
+    data = parts[0].union(parts[1]).toPandas().sort_values(["h", "y"], kind="stable")
+    lexicon = learn_lexicon(rows.select("text", "y"))
     if data["y"].nunique() < 2:
         return Model(lexicon, constant=float(data["y"].max() if len(data) else 0))
     x, y = np.array(data["features"].tolist()), data["y"].to_numpy(float)
     n1, n0 = y.sum(), (1 - y).sum()
     w = np.where(y == 1, totals[1] / n1, totals[0] / n0)
     w *= len(w) / w.sum()
-    order = np.random.default_rng(8).permutation(len(y))
-    a, b = (order, order) if few else (order[::2], order[1::2])
-    model = Model(lexicon, boost(x[a], y[a], w[a]))
-    model.knots = isotonic(model.boosted.margins(x[b]), y[b], w[b])
-    return model
+    fold, margins = np.random.default_rng(8).permutation(len(y)) % FOLDS, np.zeros(len(y))
+    for k in range(FOLDS):
+        a, b = fold != k, fold == k
+        margins[b] = boost(x[a], y[a], w[a]).margins(x[b])
+    return Model(lexicon, boost(x, y, w), isotonic(margins, y, w))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (doc_id if not given) and ``score`` for every document."""
-    keep = keep or ["doc_id"]
+    keep = carried(keep or ["doc_id"], ["score", "text_"])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
