@@ -1,17 +1,18 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-Three passes, none of which shuffles a document. The first counts how often each benchmark word occurs in
-the corpus. The second stores the index, dealt by document: for each document that holds the rarest word of
+Rows are numbered once and stored; three passes follow, none of which shuffles a text. The first counts how often each
+benchmark word occurs in the corpus. The second stores the index, dealt by document: for each document that holds the rarest word of
 any window, the postings (word, positions) of the words of these windows. The third intersects, for each
 window, the position lists moved by the word's offset, from the rarest word on, and keeps exact phrases and,
-if asked, proximity matches. The benchmark is the query set: it goes to the tasks in blocks of at most
+if ``slop`` is given, proximity matches: the rarest word in its place, every other one at most ``slop`` words from its. The benchmark is the query set: it goes to the tasks in blocks of at most
 ``BLOCK_BYTES`` of text, so what is broadcast is bounded whatever its size.
 
 Words are runs of ASCII digits and letters (in lower case) and of any characters beyond ASCII.
 
 Defined results: a null or empty document has no words and no hits; an item without words matches nothing;
 items with equal ids count once; a null item id is an empty string; repeated documents each get their row;
-an empty benchmark hits nothing; other columns are carried only if named in ``keep``.
+an empty benchmark hits nothing; other columns are carried only if named in ``keep``, but for names of the columns
+that are added; an empty table gives no rows; a text of any length is one task's row.
 """
 
 from __future__ import annotations
@@ -24,12 +25,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, worker_state
+from .common import carried, materialize, number_rows, worker_state
 
 WINDOW = 13
 BLOCK_BYTES = 4_000_000
 #: Bytes of a text that are split into words at a time.
 SEGMENT = 4_000_000
+#: Hit spans that are held before they are merged.
+SPANS = 10_000
+#: Columns that the operator adds or uses.
+OWN = ["n_words", "n_hit", "spans", "items", "near_items", "contaminated", "row_", "text_"]
 
 #: One byte for each byte: ASCII letters in lower case, digits and bytes beyond ASCII as they are, the rest a space.
 BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
@@ -46,21 +51,24 @@ def words_in(text: bytes | None) -> Iterator[list[bytes]]:
 
 
 class Query:
-    """Benchmark items with the corpus counts of their words: which windows hang on which rarest word."""
+    """Benchmark items with the corpus counts of their words: which windows, each once, hang on which rarest word."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], counts: dict[bytes, int], window: int) -> None:
         self.items, self.counts = items, counts
         self.anchors: dict[bytes, dict[tuple[int, int], list[int]]] = {}
         self.sizes = [min(window, len(words)) for _, words in items]
         for k, (_, words) in enumerate(items):
-            rare = [(counts.get(w, 0), w) for w in words]
+            rare, seen = [(counts.get(w, 0), w) for w in words], set()
             for s in range(len(words) - self.sizes[k] + 1 if words else 0):
+                if (own := tuple(words[s : s + self.sizes[k]])) in seen:
+                    continue
+                seen.add(own)
                 at = min(range(s, s + self.sizes[k]), key=rare.__getitem__)
                 self.anchors.setdefault(words[at], {}).setdefault((k, at), []).append(s)
 
     def needed(self, anchors: set[bytes]) -> set[bytes]:
         """All words of the windows that hang on these."""
-        return {w for a in anchors for (k, _), starts in self.anchors[a].items() for w in self.items[k][1][starts[0] : starts[-1] + self.sizes[k]]}
+        return {w for a in anchors for (k, _), starts in self.anchors[a].items() for s in starts for w in self.items[k][1][s : s + self.sizes[k]]}
 
     def matches(self, postings: dict[bytes, list[int]], slop: int = 0) -> Iterator[tuple[int, int, int, bool]]:
         """Item, first and last place of each match, and whether it is exact."""
@@ -109,12 +117,12 @@ def corpus_counts(docs: DataFrame, items: list[tuple[str, list[bytes]]]) -> dict
                     own.update(filter(known.__contains__, words))
         yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], ["word", "n"])
 
-    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "word binary, n long")
+    parts = docs.select(F.col("text_").cast("binary").alias("text_")).mapInArrow(count, "word binary, n long")
     return {bytes(r.word): r.n for r in parts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
-def build_index(docs: DataFrame, name: str, sent, keep: list[str]) -> DataFrame:
-    """Per document: the columns to keep, n_words, and postings of the windows whose rarest word it holds."""
+def build_index(docs: DataFrame, name: str, sent) -> DataFrame:
+    """Per document: row_, n_words, and postings of the windows whose rarest word it holds."""
 
     def post(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -124,7 +132,7 @@ def build_index(docs: DataFrame, name: str, sent, keep: list[str]) -> DataFrame:
         kind = pa.list_(pa.struct([("word", pa.binary()), ("at", pa.list_(pa.int32()))]))
         for batch in batches:
             n_words, postings = [], []
-            for text in batch.column("bytes_"):
+            for text in batch.column("text_"):
                 parts = list(words_in(text.as_py()))
                 n_words.append(sum(map(len, parts)))
                 found = set().union(*map(anchors.intersection, parts))
@@ -136,15 +144,14 @@ def build_index(docs: DataFrame, name: str, sent, keep: list[str]) -> DataFrame:
                             own[w].append(i)
                     at += len(words)
                 postings.append([{"word": w, "at": p} for w, p in own.items() if p])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(postings, kind)], [*keep, "n_words", "postings"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_"), pa.array(n_words, pa.int64()), pa.array(postings, kind)], ["row_", "n_words", "postings"])
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("binary").alias("bytes_"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "bytes_")
-    return kept.mapInArrow(post, f"{schema}, n_words long, postings array<struct<word: binary, at: array<int>>>")
+    rows = docs.select("row_", F.col("text_").cast("binary").alias("text_"))
+    return rows.mapInArrow(post, "row_ long, n_words long, postings array<struct<word: binary, at: array<int>>>")
 
 
-def search_index(index: DataFrame, name: str, sent, keep: list[str], slop: int = 0) -> DataFrame:
-    """Per document: the columns to keep, n_words, hit spans (first, last), items hit, and items only near by."""
+def search_index(index: DataFrame, name: str, sent, slop: int = 0) -> DataFrame:
+    """Per document: row_, n_words, hit spans (first, last), items hit, and items only near by."""
 
     def search(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -155,21 +162,23 @@ def search_index(index: DataFrame, name: str, sent, keep: list[str], slop: int =
             spans, items, near = [], [], []
             for postings in batch.column("postings"):
                 own = {x["word"]: x["at"] for x in postings.as_py() or ()}
-                hits, exact, close = [], set(), set()
+                hits, exact, close, room = [], set(), set(), SPANS
                 for k, a, b, is_exact in query.matches(own, slop) if own else ():
                     if is_exact:
                         hits.append((a, b))
                         exact.add(query.items[k][0])
+                        if len(hits) >= room:
+                            hits = merged(hits)
+                            room = SPANS + 2 * len(hits)
                     else:
                         close.add(query.items[k][0])
                 spans.append([list(x) for x in merged(hits)])
                 items.append(sorted(exact))
                 near.append(sorted(close - exact))
-            columns = [*(batch.column(c) for c in keep), batch.column("n_words"), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_words", "spans", "items", "near_items"])
+            columns = [batch.column("row_"), batch.column("n_words"), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row_", "n_words", "spans", "items", "near_items"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.select(*[f"`{c}`" for c in keep]).schema)
-    return index.mapInArrow(search, f"{schema}, n_words long, spans array<array<int>>, items array<string>, near_items array<string>")
+    return index.mapInArrow(search, "row_ long, n_words long, spans array<array<int>>, items array<string>, near_items array<string>")
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
@@ -185,30 +194,25 @@ def merged(spans: list) -> list[tuple[int, int]]:
 
 def find_contamination(docs: DataFrame, bench: DataFrame, keep: list[str] | None = None, window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: ``keep``, n_words, n_hit, spans, items, near_items and contaminated."""
-    keep = keep or ["doc_id"]
+    keep = carried(keep or ["doc_id"], OWN)
     size = bench.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    if blocks > 1:  # results of the blocks are put together by row number, so rows are numbered once
-        docs = materialize(docs.withColumn("row_", F.monotonically_increasing_id()), "docs")
+    docs = number_rows(docs, [*[F.col(f"`{c}`") for c in keep], F.col("text").alias("text_")])
     found = []
     for b in range(blocks):
-        own = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else bench
-        items = read_items(own)
-        name, kept = uuid.uuid4().hex, keep if blocks == 1 else ["row_"]
+        items, name = read_items(bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)), uuid.uuid4().hex
         sent = docs.sparkSession.sparkContext.broadcast((items, corpus_counts(docs, items), window))
-        index = materialize(build_index(docs, name, sent, kept), "index")
-        found.append(search_index(index, name, sent, kept, slop))
+        found.append(search_index(materialize(build_index(docs, name, sent), "index"), name, sent, slop))
     hits = found[0]
-    if blocks > 1:
-        for f in found[1:]:
-            hits = hits.union(f)
-        joined = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        hits = hits.groupBy("row_").agg(F.max("n_words").alias("n_words"), *[joined(c) for c in ("spans", "items", "near_items")])
-        hits = hits.withColumn("spans", merge_spans("spans")).withColumn("items", F.array_sort(F.array_distinct("items")))
-        hits = hits.withColumn("near_items", F.array_sort(F.array_except("near_items", "items")))
-        hits = docs.select("row_", *[f"`{c}`" for c in keep]).join(hits, "row_").drop("row_")
+    for f in found[1:]:
+        hits = hits.union(f)
+    joined = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    hits = hits.groupBy("row_").agg(F.max("n_words").alias("n_words"), *[joined(c) for c in ("spans", "items", "near_items")])
+    hits = hits.withColumn("spans", merge_spans("spans")).withColumn("items", F.array_sort(F.array_distinct("items")))
+    hits = hits.withColumn("near_items", F.array_sort(F.array_distinct(F.array_except("near_items", "items"))))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0] + 1)
-    return hits.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    hits = hits.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return docs.select("row_", *[f"`{c}`" for c in keep]).join(hits, "row_").drop("row_")
 
 
 def merge_spans(column: str):

@@ -2,7 +2,8 @@
 
 Defined results: a null, empty or blank text has no words, so all counts are 0 and it fails the
 base rule; repeated rows each get their own result; ratios over no words or no lines are null and
-pass their rule; other columns of the input, whatever their names, are left out of the result.
+pass their rule; stop words count in any case; other columns of the input, whatever their names, are left out of the
+result; an empty table gives no rows; a text of any length is one row of one task.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
     word_chars = F.length(F.array_join(words, ""))
     symbols = F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", ""))
     dup = n_lines - F.size(F.array_distinct(lines))
-    stops = F.size(F.filter(words, lambda w: F.rtrim(w, F.lit(TAIL)).isin(STOP_WORDS)))
+    stops = F.size(F.filter(words, lambda w: F.rtrim(F.lower(w), F.lit(TAIL)).isin(STOP_WORDS)))
     ratio = lambda x, y: F.when(y > 0, x / y)
     share = lambda test: ratio(F.size(F.filter(lines, test)), n_lines)
     return {

@@ -41,8 +41,9 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=1)
+    n_items = [F.size(c).cast("long").alias(f"n_{c}") for c in ("items", "near_items")]
+    return found.select("doc_id", "n_words", "n_hit", *n_items, F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,7 @@ m AS (
   SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-         len(list_filter(w, lambda x: list_contains([STOPS], rtrim(x, '.,;:!?')))) AS stops,
+         len(list_filter(w, lambda x: list_contains([STOPS], rtrim(lower(x), '.,;:!?')))) AS stops,
          len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-•*‣·][\x20\x09-\x0D]'))) AS bullets,
          len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS dots, len(l) AS n_lines
   FROM d LEFT JOIN r USING (doc_id)),
@@ -133,10 +134,17 @@ ks AS (SELECT DISTINCT k FROM bw),
 dw AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM d, ks, unnest(range(1, len(w) - k + 2)) u(i)),
 h AS (SELECT r, item, i, bw.k FROM dw JOIN bw ON dw.g = bw.g AND dw.k = bw.k),
 n AS (SELECT r, count(DISTINCT i + j) AS n_hit FROM h, unnest(range(0, k)) u(j) GROUP BY r),
-t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r),
+p AS (SELECT r, i, w[i] AS x FROM d, unnest(range(1, len(w) + 1)) u(i)),
+f AS (SELECT x, count(*) AS n FROM p GROUP BY x),
+bv AS (SELECT item, k, g, string_split(g, ' ') AS v FROM bw),
+a AS (SELECT item, k, v, j, row_number() OVER (PARTITION BY item, k, g ORDER BY coalesce(n, 0), v[j], j) AS first FROM bv, unnest(range(1, k + 1)) u(j) LEFT JOIN f ON f.x = v[j]),
+c AS (SELECT p.r, item, k, v, i - j AS s, w FROM a JOIN p ON p.x = v[j] JOIN d ON d.r = p.r WHERE first = 1),
+q AS (SELECT r, item, list_bool_and(list_transform(range(1, k + 1), lambda t: coalesce((s + t - 1 > 0 AND w[greatest(s + t - 1, 1)] = v[t]) OR (s + t > 0 AND w[greatest(s + t, 1)] = v[t]) OR (s + t + 1 > 0 AND w[greatest(s + t + 1, 1)] = v[t]), false))) AS near FROM c),
+y AS (SELECT r, count(DISTINCT item) AS n_near_items FROM q WHERE near AND NOT EXISTS (SELECT 1 FROM h WHERE h.r = q.r AND h.item = q.item) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_near_items, 0)::BIGINT AS n_near_items, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r) LEFT JOIN y USING (r)
 """
 
 
