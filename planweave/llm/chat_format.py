@@ -8,7 +8,8 @@ Merged turns keep a separator inside their block, so the turns themselves read b
 
 Defined results: a null text or role is empty; rows with equal turn numbers are ordered by role, then
 text, nulls as empty; repeated rows are turns of their own; a null conversation id is a conversation;
-a null turn sorts first; other columns are left out; an empty table gives an empty result.
+a null turn sorts first; other columns, whatever their names, are left out; an empty table gives an empty result; a text
+of any length is part of one row, a conversation.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ the bytes between as a quarantined gap.
 Defined results: a null payload is empty; a null key is written as an empty id and reads back as null; of
 records with equal payloads of at least ``REVISIT_FROM`` bytes those with the largest key are responses (all
 of them, if the row is repeated) and the others revisits of it; an archive of no bytes has no records and no
-gaps; an empty table gives no archives.
+gaps; an empty table gives no archives; other columns are left out; a payload or header block of any length is one
+record, read by one task.
 """
 
 from __future__ import annotations
@@ -328,9 +329,17 @@ def find_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """Write all pages, read the archives back: per record its key, size, digest, type and the key it refers to."""
+    """Write all pages, read the archives back: per record its key, size, digest, type and the key it refers to.
+
+    Fails if fewer or more records are read than were written.
+    """
     spark = pages.sparkSession
     manifest = write_warc(with_revisits(pages), new_path(spark, "warc"))
     back = read_warc(manifest, with_payload=False).where("kind = 'record'")
     key = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    return back.select(key("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", key("refers_to").alias("refers_to"))
+    rows = back.select(key("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", key("refers_to").alias("refers_to"))
+    rows = materialize(rows, "records")
+    written, read = manifest.agg(F.sum("records")).first()[0] or 0, rows.count()
+    if written != read:
+        raise ValueError(f"{written} records written, {read} read")
+    return rows
