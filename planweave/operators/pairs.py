@@ -13,42 +13,51 @@ BAND = 0.4
 SHAPE = ("lat1", "lng1", "lat2", "lng2")
 
 
-def cells(df: DataFrame, pad_m: float) -> DataFrame:
-    """Explodes each shape into the grid cells its box reaches, grown by ``pad_m``: band, cell, and the first of both.
+def cells(df: DataFrame, pad_m: float, unit_m: float) -> DataFrame:
+    """Explodes each shape into the grid cells its box, grown by ``pad_m``, reaches: band, cell, and the first of both.
 
-    A band's cells are as wide as the radius at its highest latitude, so a box reaches a few at most at any latitude.
+    Cells are about ``unit_m`` wide and high: a band's cells as wide as that at its highest latitude, so a box reaches a
+    few at most at any latitude. The grown box itself stays: south, north, west, east.
     """
-    pad = pad_m / 110_000
-    low, high = F.least("lat1", "lat2") - pad, F.greatest("lat1", "lat2") + pad
-    bands = F.sequence(F.floor(low / BAND).cast("int"), F.floor(high / BAND).cast("int"))
-    df = df.withColumn("band0_", F.floor(low / BAND).cast("int")).withColumn("band_", F.explode(bands))
-    top = F.least(F.lit(88.0), F.greatest(F.abs(F.col("band_") * BAND), F.abs((F.col("band_") + 1) * BAND)) + RADIUS_M / 110_000)
-    width = RADIUS_M / (110_000 * F.cos(F.radians(top)))
-    side = pad_m / RADIUS_M * width
-    first = F.floor((F.least("lng1", "lng2") - side) / width).cast("int")
-    last = F.floor((F.greatest("lng1", "lng2") + side) / width).cast("int")
-    return df.withColumn("cell0_", first).withColumn("cell_", F.explode(F.sequence(first, last)))
+    band, pad = BAND * unit_m / RADIUS_M, pad_m / 110_000
+    df = df.withColumns({"south": F.least("lat1", "lat2") - pad, "north": F.greatest("lat1", "lat2") + pad})
+    wide = pad_m / (110_000 * F.cos(F.radians(F.least(F.lit(88.0), F.greatest(F.abs("south"), F.abs("north"))))))
+    df = df.withColumns({"west": F.least("lng1", "lng2") - wide, "east": F.greatest("lng1", "lng2") + wide, "band0_": F.floor(F.col("south") / band).cast("int")})
+    df = df.withColumn("band_", F.explode(F.sequence("band0_", F.floor(F.col("north") / band).cast("int"))))
+    top = F.least(F.lit(88.0), F.greatest(F.abs(F.col("band_") * band), F.abs((F.col("band_") + 1) * band)) + unit_m / 110_000)
+    df = df.withColumn("width_", unit_m / (110_000 * F.cos(F.radians(top))))
+    side = pad_m / unit_m * F.col("width_")
+    df = df.withColumn("cell0_", F.floor((F.least("lng1", "lng2") - side) / F.col("width_")).cast("int"))
+    return df.withColumn("cell_", F.explode(F.sequence("cell0_", F.floor((F.greatest("lng1", "lng2") + side) / F.col("width_")).cast("int")))).drop("width_")
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select([F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
 
 
-def candidate_pairs(projects: DataFrame, radius_m: float = RADIUS_M, extra: Column | None = None) -> DataFrame:
+def candidate_pairs(projects: DataFrame, radius_m: float = RADIUS_M, extra: Column | None = None, others: DataFrame | None = None) -> DataFrame:
     """Each pair a.id < b.id of unlike companies whose shapes are within the radius, once: a_ and b_ columns, metres.
 
     Cells are joined on equality, so the join is hashed or merged and its skew can be split; a pair that meets
-    in several cells is kept in the first. Only one side is grown by the radius.
+    in several cells is kept in the first. Only one side is grown by the radius. The join tests boxes and ``extra``,
+    the distance is worked out once for what passes. With ``others`` the pairs are those of a row of ``projects``
+    with one of ``others``, whichever id is less.
     """
-    if radius_m > RADIUS_M:
-        raise ValueError(f"radius over {RADIUS_M} m")
-    placed = projects.where(F.col("lat1").isNotNull() & F.col("lng1").isNotNull())
-    a, b = prefixed(cells(placed, radius_m), "a"), prefixed(cells(placed, 0), "b")
-    apart = F.lower(F.trim("a_utility")) != F.lower(F.trim("b_utility"))
-    once = (F.col("a_band_") == F.greatest("a_band0_", "b_band0_")) & (F.col("a_cell_") == F.greatest("a_cell0_", "b_cell0_"))
-    on = (F.col("a_band_") == F.col("b_band_")) & (F.col("a_cell_") == F.col("b_cell_")) & (F.col("a_id") < F.col("b_id")) & apart & once
-    joined = a.join(b, on if extra is None else on & extra).drop(*[f"{s}_{c}_" for s in "ab" for c in ("band", "band0", "cell", "cell0")])
-    return joined.withColumn("metres", geo.segment_distance("a", "b")).where(F.col("metres") <= radius_m)
+    unit = max(radius_m, RADIUS_M)
+    placed = lambda df: df.where(F.col("lat1").isNotNull() & F.col("lng1").isNotNull()).withColumn("key_", F.lower(F.trim("utility")))
+    a, b = prefixed(cells(placed(projects), radius_m, unit), "a"), prefixed(cells(placed(projects if others is None else others), 0, unit), "b")
+    c = F.col
+    once = (c("a_band_") == F.greatest("a_band0_", "b_band0_")) & (c("a_cell_") == F.greatest("a_cell0_", "b_cell0_"))
+    boxes = (c("b_south") <= c("a_north")) & (c("b_north") >= c("a_south")) & (c("b_west") <= c("a_east")) & (c("b_east") >= c("a_west"))
+    ids = c("a_id") < c("b_id") if others is None else c("a_id") != c("b_id")
+    on = (c("a_band_") == c("b_band_")) & (c("a_cell_") == c("b_cell_")) & ids & once & boxes & (c("a_key_") != c("b_key_"))
+    helpers = [f"{s}_{n}" for s in "ab" for n in ("band_", "band0_", "cell_", "cell0_", "key_", "south", "north", "west", "east")]
+    # the number of candidates, not the bytes of the inputs, is the work: cells are dealt out even where the planner would broadcast a side
+    a, b = a.repartition("a_band_", "a_cell_"), b.repartition("b_band_", "b_cell_")
+    joined = a.join(b, on if extra is None else on & extra).drop(*helpers)
+    # a column that is not deterministic keeps the filter above the stages of the distance, which else would be worked out in it again
+    found = geo.with_metres(joined).withColumn("row_", F.monotonically_increasing_id())
+    return found.where((c("metres") <= radius_m) & (c("row_") >= 0)).drop("row_")
 
 
 def with_windows(projects: DataFrame) -> DataFrame:
@@ -67,10 +76,10 @@ def overlaps(projects: DataFrame, as_of: str, min_days: int = 30, radius_m: floa
     """The qualifying pairs with scores, bands and value ranges; whatever one side decides is decided before the join."""
     ahead = with_owners(with_windows(projects)).where(F.col("build_end") >= F.lit(as_of).cast("date"))
     kept = ["id", "utility", "company", "state", "type", "voltage_kv", "cost_usd", "end_date", "routed", *SHAPE, "build_start", "build_end", "entities", "needs_review", "withheld", "stem"]
-    pairs = candidate_pairs(ahead.select(kept), radius_m, owners.different_companies("a", "b"))
+    shared = F.datediff(F.least("a_build_end", "b_build_end"), F.greatest(F.col("a_build_start"), F.col("b_build_start"), F.lit(as_of).cast("date"))) + 1
+    pairs = candidate_pairs(ahead.select(kept), radius_m, shared >= max(1, min_days)).where(owners.different_companies("a", "b"))
     pairs = pairs.withColumns(dates.compare(F.col("a_build_start"), F.col("a_build_end"), F.col("b_build_start"), F.col("b_build_end")))
-    shared = F.datediff("window_end", F.greatest(F.col("window_start"), F.lit(as_of).cast("date"))) + 1
-    return scored(pairs.where(shared >= max(1, min_days)), radius_m)
+    return scored(pairs, radius_m)
 
 
 def scored(pairs: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:

@@ -51,7 +51,7 @@ def test_a_grid_join_loses_no_pair(spark):
     df = spark.createDataFrame(rows, "id long, utility string, lat1 double, lng1 double").selectExpr("*", "lat1 AS lat2", "lng1 AS lng2")
     got = {(r.a_id, r.b_id) for r in pairs.candidate_pairs(df).select("a_id", "b_id").collect()}
     a, b = pairs.prefixed(df, "a"), pairs.prefixed(df, "b")
-    every = a.join(b, (F.col("a_id") < F.col("b_id")) & (F.col("a_utility") != F.col("b_utility"))).where(geo.segment_distance("a", "b") <= pairs.RADIUS_M)
+    every = geo.with_metres(a.join(b, (F.col("a_id") < F.col("b_id")) & (F.col("a_utility") != F.col("b_utility")))).where(F.col("metres") <= pairs.RADIUS_M)
     assert got == {(r.a_id, r.b_id) for r in every.collect()} and len(got) > 100
 
 
