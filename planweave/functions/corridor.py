@@ -20,8 +20,8 @@ def local(a: str, b: str) -> list[dict[str, str]]:
 
 def inside(p: str, q: str, r: str, s: str, to: str, strip: float = STRIP_M) -> list[dict[str, str]]:
     """Metres of the way from p to q within the strip around r to s, as ``to``."""
-    x = {f"{to}_dx": f"{q}x - {p}x", f"{to}_dy": f"{q}y - {p}y", f"{to}_l": f"sqrt(pow({s}x - {r}x, 2) + pow({s}y - {r}y, 2))"}
-    y = {f"{to}_a": f"{to}_dx * {to}_dx + {to}_dy * {to}_dy", f"{to}_ux": f"({s}x - {r}x) / {to}_l", f"{to}_uy": f"({s}y - {r}y) / {to}_l"}
+    x = {f"{to}_dx": f"{q}x - {p}x", f"{to}_dy": f"{q}y - {p}y", f"{to}_l": f"nullif(sqrt(pow({s}x - {r}x, 2) + pow({s}y - {r}y, 2)), 0)"}
+    y = {f"{to}_a": f"nullif({to}_dx * {to}_dx + {to}_dy * {to}_dy, 0)", f"{to}_ux": f"({s}x - {r}x) / {to}_l", f"{to}_uy": f"({s}y - {r}y) / {to}_l"}
     z = {f"{to}_s0": f"({p}x - {r}x) * {to}_ux + ({p}y - {r}y) * {to}_uy", f"{to}_ds": f"{to}_dx * {to}_ux + {to}_dy * {to}_uy", f"{to}_n0": f"{to}_ux * ({p}y - {r}y) - {to}_uy * ({p}x - {r}x)", f"{to}_dn": f"{to}_ux * {to}_dy - {to}_uy * {to}_dx"}
     lows, highs = {}, {}
     for k, c in (("1", r), ("2", s)):
@@ -42,6 +42,18 @@ def inside(p: str, q: str, r: str, s: str, to: str, strip: float = STRIP_M) -> l
     return [x, y, z, lows | highs, box, {f"{to}_first": first, f"{to}_last": last}, {to: f"greatest(0.0, {to}_last - {to}_first) * sqrt({to}_a)"}]
 
 
+def with_shared_km(pairs, where):
+    """Adds ``shared_km``, to 10 metres, to the pairs of routes (a_ and b_ columns) that fulfil ``where``; null for the rest."""
+    from pyspark.sql import functions as F
+
+    ends = [f"{s}_{n}{i}" for s in "ab" for n in ("lat", "lng") for i in (1, 2)]
+    before = pairs.columns
+    pairs = pairs.withColumns({f"c{e}": F.when(where, F.col(e)) for e in ends})
+    for stage in shared_km("ca", "cb"):
+        pairs = pairs.withColumns({k: F.expr(v) for k, v in stage.items()})
+    return pairs.select(*before, F.round("shared_km", 2).alias("shared_km"))
+
+
 def shared_km(a: str, b: str) -> list[dict[str, str]]:
     """The lesser of what each route has within the strip around the other, in kilometres."""
     return [*local(a, b), *inside("p", "q", "r", "s", "ia"), *inside("r", "s", "p", "q", "ib"), {"shared_km": "least(ia, ib) / 1000"}]

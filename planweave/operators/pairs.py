@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, geo, owners, score
+from ..functions import corridor, dates, geo, owners, score
 
 RADIUS_M = 25 * geo.METERS_PER_MILE
 #: Height of a grid band in degrees of latitude.
@@ -72,23 +72,51 @@ def with_owners(projects: DataFrame) -> DataFrame:
     return projects.join(names, "utility", "left")
 
 
-def overlaps(projects: DataFrame, as_of: str, min_days: int = 30, radius_m: float = RADIUS_M) -> DataFrame:
-    """The qualifying pairs with scores, bands and value ranges; whatever one side decides is decided before the join."""
-    ahead = with_owners(with_windows(projects)).where(F.col("build_end") >= F.lit(as_of).cast("date"))
-    kept = ["id", "utility", "company", "state", "type", "voltage_kv", "cost_usd", "end_date", "routed", *SHAPE, "build_start", "build_end", "entities", "needs_review", "withheld", "stem"]
+def ahead_of(projects: DataFrame, as_of: str, evidence: DataFrame | None = None) -> DataFrame:
+    """Projects of which no evidence (id, operating_from) says that they operate by then, and whose last day is not past.
+
+    Evidence counts for what is published at that time: the first day of operation is not after ``as_of``.
+    """
+    ahead = projects.where(F.col("build_end") >= F.lit(as_of).cast("date"))
+    return ahead if evidence is None else ahead.join(evidence.where(F.col("operating_from") <= F.lit(as_of).cast("date")), "id", "left_anti")
+
+
+def overlaps(projects: DataFrame, as_of: str, min_days: int = 30, radius_m: float = RADIUS_M, evidence: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
+    """The qualifying pairs with scores, bands and value ranges; whatever one side decides is decided before the join.
+
+    With ``changed`` (id) only pairs with a side among these are found: one join of these with all.
+    """
+    ahead = ahead_of(with_owners(with_windows(projects)), as_of, evidence)
+    kept = ["id", "utility", "company", "state", "name", "location_ref", "type", "voltage_kv", "cost_usd", "end_date", "routed", *SHAPE, "build_start", "build_end", "entities", "needs_review", "withheld", "stem"]
     shared = F.datediff(F.least("a_build_end", "b_build_end"), F.greatest(F.col("a_build_start"), F.col("b_build_start"), F.lit(as_of).cast("date"))) + 1
-    pairs = candidate_pairs(ahead.select(kept), radius_m, shared >= max(1, min_days)).where(owners.different_companies("a", "b"))
+    every = ahead.select(kept)
+    if changed is None:
+        pairs = candidate_pairs(every, radius_m, shared >= max(1, min_days))
+    else:
+        ids = changed.select("id").distinct()
+        own = every.join(ids, "id", "left_semi").withColumn("both", F.lit(True))
+        pairs = in_order(candidate_pairs(own, radius_m, shared >= max(1, min_days), every.join(ids.withColumn("both", F.lit(True)), "id", "left")))
+    pairs = pairs.where(owners.different_companies("a", "b"))
     pairs = pairs.withColumns(dates.compare(F.col("a_build_start"), F.col("a_build_end"), F.col("b_build_start"), F.col("b_build_end")))
     return scored(pairs, radius_m)
 
 
+def in_order(pairs: DataFrame) -> DataFrame:
+    """Pairs of a changed side a, with the lesser id first; of two changed sides (``both``) a pair is kept once."""
+    pairs = pairs.where((F.col("a_id") < F.col("b_id")) | F.col("b_both").isNull()).drop("a_both", "b_both")
+    swap, names = F.col("a_id") > F.col("b_id"), [c[2:] for c in pairs.columns if c.startswith("a_")]
+    sides = {f"{x}_{n}": F.when(swap, F.col(f"{y}_{n}")).otherwise(F.col(f"{x}_{n}")) for n in names for x, y in ("ab", "ba")}
+    return pairs.withColumns(sides)
+
+
 def scored(pairs: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
     miles = F.col("metres") / geo.METERS_PER_MILE
     own = score.factors(miles, F.col("ratio"), F.col("a_type"), F.col("b_type"), F.col("a_voltage_kv"), F.col("b_voltage_kv"), radius_m / geo.METERS_PER_MILE)
     band = score.band(F.col("metres") / 1000)
     out = pairs.withColumns({"pair_id": F.concat_ws("-", "a_id", "b_id"), "exact_miles": miles, "band": band, "composite": score.composite(own), "indeterminate": score.indeterminate(own)})
     out = out.withColumn("tier", score.tier(F.col("band")))
-    value = score.impact(F.col("tier"), F.col("a_cost_usd"), F.col("b_cost_usd"), F.col("a_voltage_kv"), F.col("b_voltage_kv"), F.lit(None).cast("double"), F.col("window_start").isNotNull())
+    out = corridor.with_shared_km(out, F.col("a_routed") & F.col("b_routed") & (F.col("tier") <= 1))  # land is valued for these alone
+    value = score.impact(F.col("tier"), F.col("a_cost_usd"), F.col("b_cost_usd"), F.col("a_voltage_kv"), F.col("b_voltage_kv"), F.col("shared_km"), F.col("window_start").isNotNull())
     return out.withColumns(value).withColumn("miles", F.round("exact_miles", 3))
 
 

@@ -156,6 +156,14 @@ near AS (SELECT a.id AS a_id, b.id AS b_id, radians((a.lat1+a.lat2+b.lat1+b.lat2
 scaled AS (SELECT *, 111132.954-559.822*cos(2*phi)+1.175*cos(4*phi) AS ky, 111412.84*cos(phi)-93.5*cos(3*phi)+0.118*cos(5*phi) AS kx FROM near),
 pairs AS (SELECT * FROM (SELECT a_id, b_id, {_METRES} AS metres FROM scaled JOIN boxed a ON a.id=a_id JOIN boxed b ON b.id=b_id) WHERE metres<=25*1609.344)
 """
+_SHARED, _names = "", []
+for _i, _stage in enumerate(corridor.shared_km("a", "b")):
+    _SHARED += f", c{_i + 1} AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _stage.items()) + f" FROM c{_i})"
+    _names.append(f"c{_i + 1}")
+
+_LAND = "c0 AS (SELECT pair_id, a_kv, b_kv, " + ", ".join(f"{x}.{c} AS {x}_{c}" for x in "ab" for c in ("lat1", "lng1", "lat2", "lng2")) + " FROM coord JOIN ahead a ON a.id=a_id JOIN ahead b ON b.id=b_id WHERE a.routed AND b.routed AND tier<=1)" + _SHARED
+#: Widths of a right of way by kilovolts, as the survey lists them.
+_WIDTH = "(CASE WHEN {kv} IS NULL OR {kv}=0 THEN 30.0 WHEN {kv}<=69 THEN 23.0 WHEN {kv}<=138 THEN 30.0 WHEN {kv}<=230 THEN 38.0 WHEN {kv}<=345 THEN 46.0 ELSE 61.0 END)"
 _FACTS = f"""
 ahead AS (SELECT windowed.*, company, entities, needs_review, family FROM windowed JOIN companies USING (utility) WHERE build_end >= DATE '{AS_OF}'),
 {_JOIN.format(rows="ahead")},
@@ -168,8 +176,10 @@ coord AS (SELECT *, a_id||'-'||b_id AS pair_id, round(exact_miles,3) AS miles, C
   CASE WHEN metres<=1 THEN 0 WHEN metres<1600 THEN 1 WHEN metres<8000 THEN 2 WHEN metres<40000 THEN 3 ELSE 4 END AS tier,
   0.55*greatest(0,least(1,1-exact_miles/25))+0.3*ratio+0.075*coalesce((a_type=b_type)::INT,0)+0.075*(CASE WHEN a_kv>0 AND b_kv>0 THEN greatest(0,least(1,1-abs(a_kv-b_kv)/CAST(500 AS DOUBLE))) ELSE 0 END) AS composite,
   concat_ws(',', CASE WHEN a_type IS NULL OR b_type IS NULL THEN 'type_similarity' END, CASE WHEN a_kv IS NULL OR b_kv IS NULL THEN 'voltage_similarity' END) AS indeterminate, least(a_cost, b_cost) AS cost FROM timed),
-coordinated AS (SELECT *, (coalesce(round_even(cost*0.01,0),150000)+CASE WHEN tier<=2 THEN 100000 ELSE 0 END+CASE WHEN tier=0 THEN 50000 ELSE 0 END+CASE WHEN tier<=1 THEN 50000 ELSE 0 END)::BIGINT AS low,
-  (coalesce(round_even(cost*0.03,0),400000)+CASE WHEN tier<=2 THEN 300000 ELSE 0 END+CASE WHEN tier=0 THEN 250000 ELSE 0 END+CASE WHEN tier<=1 THEN 200000 ELSE 0 END)::BIGINT AS high FROM coord)
+{_LAND},
+land AS (SELECT pair_id, round(shared_km,2)*1000*least({_WIDTH.format(kv='a_kv')},{_WIDTH.format(kv='b_kv')})*0.5/4046.86 AS acres FROM {_names[-1]} WHERE shared_km > 0),
+coordinated AS (SELECT coord.*, (coalesce(round_even(cost*0.01,0),150000)+CASE WHEN tier<=2 THEN 100000 ELSE 0 END+CASE WHEN tier=0 THEN 50000 ELSE 0 END+CASE WHEN tier<=1 THEN 50000 ELSE 0 END+coalesce(round_even(acres*5000,0),0))::BIGINT AS low,
+  (coalesce(round_even(cost*0.03,0),400000)+CASE WHEN tier<=2 THEN 300000 ELSE 0 END+CASE WHEN tier=0 THEN 250000 ELSE 0 END+CASE WHEN tier<=1 THEN 200000 ELSE 0 END+coalesce(round_even(acres*20000,0),0))::BIGINT AS high FROM coord LEFT JOIN land USING (pair_id))
 """
 COORD = f"WITH {PROJECTS_SQL}, {COMPANIES_SQL}, {WINDOWS_SQL}, {_FACTS} "
 _USD = lambda c: f"(CASE WHEN {c}>=1000000 THEN printf('$%.1fM', floor({c}/100000.0+0.5)/10) ELSE '$'||CAST(round_even({c}/1000.0,0) AS BIGINT)||'k' END)"
@@ -184,11 +194,6 @@ BRIEF_SQL = f"""a_company||'''s '||{_describe('a')}||' and '||b_company||'''s '|
   CASE tier WHEN 0 THEN 'They touch: one outage window and one crossing design would serve both.' WHEN 1 THEN 'Right-of-way, access roads and one permit package could be shared.' WHEN 2 THEN 'A laydown yard and deliveries could be shared.' ELSE 'Line crews, cranes and contractors could be shared.' END||
   CASE WHEN tier<=3 THEN ' A rough value is '||{_USD('low')}||'–'||{_USD('high')}||'.' ELSE '' END"""
 
-_SHARED, _names = "", []
-for _i, _stage in enumerate(corridor.shared_km("a", "b")):
-    _SHARED += f", c{_i + 1} AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _stage.items()) + f" FROM c{_i})"
-    _names.append(f"c{_i + 1}")
-
 SQL = {
     "shared_corridors": f"WITH {PROJECTS_SQL}, routes AS (SELECT * FROM projects WHERE routed), {_JOIN.format(rows='routes')}, c0 AS (SELECT a_id, b_id, " + ", ".join(f"{x}.{c} AS {x}_{c}" for x in "ab" for c in ("lat1", "lng1", "lat2", "lng2")) + f" FROM pairs JOIN routes a ON a.id=a_id JOIN routes b ON b.id=b_id WHERE metres<=1600){_SHARED} SELECT a_id, b_id, round(shared_km,2) AS shared_km FROM {_names[-1]}",
     "coordination_pairs": COORD + "SELECT pair_id, a_id, b_id, miles, band, tier, overlap_days, round(ratio,4) AS ratio, gap_days, window_start, window_end, round(composite,6) AS composite, indeterminate FROM coordinated",
