@@ -6,10 +6,14 @@
    0.8): two signatures that agree in at least ``matches_for`` of 64 coordinates share one of them, since prefixes
    follow one order of all pairs.
    Rarity comes from a sketch of fixed size, so that pairs which many texts share are skipped.
-3. In each posting list all nodes are matched with one leader, chosen anew each round; collisions are counted
-   over the whole signature, and those with enough agreeing coordinates are confirmed on full shingle sets.
-   Links are contracted, so a large group of near copies costs its size and not its square.
-4. Pairs of the lists that still lie in different classes, and were not tested before, are all tested.
+3. In each posting list all nodes are matched with leaders: a node of the list's largest class (at first the node
+   whose coordinate values are the most common ones, the text in the middle of its copies) and one of a class drawn
+   anew each round. Collisions are counted over the whole signature, and those with enough agreeing coordinates are
+   confirmed on full shingle sets. Links are contracted. Lists of over ``SMALL`` nodes go through such rounds until one
+   links few against the first: leaders meet all nodes of their lists, so where they link few, few pairs are left to
+   link. A large group of near copies costs its size and not its square.
+4. Of the pairs of a list that still lie in different classes, one of each two classes and share is tested, the one
+   that agrees most; links are contracted, and what is left is tested in finer shares, until no pair is left.
 
 Before any set is fetched, pairs must pass two native tests: so many agreeing coordinates,
 and an odd sketch (the parity of the shingles in each of 512 hash cells), whose unequal cells are never more than
@@ -22,7 +26,7 @@ All links are confirmed exactly, in integers. Every step is a join, a grouping o
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; a text of fewer than
 five words is one shingle; equal texts are linked; null document ids never name a class that has others;
 ``first`` marks one row of each class (so of repeated rows, too), ``kept`` follows document ids; an empty
-table gives no rows. The input must give the same rows in the same order when read again, as stored tables do.
+table gives no rows; other columns are carried only if named in ``keep``; a text of any length is one task's row.
 """
 
 from __future__ import annotations
@@ -33,17 +37,22 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pin_scans
+from .common import carried, materialize, number_rows
 
 SHINGLE = 5
 COORDINATES = 64
 #: Least similarity of a link in hundredths if none is given, and how often a pair of the least similarity may fail by its signature.
 PERCENT, MISSED = 85, 1.5e-6
 SKETCH_BITS = 16
+#: Columns that hold the hashes of a text.
+TEXT = ("t1", "t2")
 #: Cells of the odd sketch, and the numbers that hold them.
 CELLS = 512
 ODD = [f"o{k}" for k in range(CELLS // 64)]
-ROUNDS = 2
+#: Lists of at most so many nodes have a bounded number of pairs for each posting.
+SMALL = 8
+#: Rounds of leaders end with one that links less than this part of what the first one did.
+FEW = 1 / 16
 #: Shingles that are hashed under all coordinates at a time.
 SLICE = 4096
 
@@ -101,7 +110,7 @@ def odd_sketch(hashes) -> bytes:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """Per row: row_, doc_id, n, digest of the set (null without shingles), least values and odd sketch as bytes."""
+    """Per row: row_, doc_id, hashes of the text, n, digest of the set (null without shingles), least values and odd sketch as bytes."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -115,11 +124,12 @@ def sign(docs: DataFrame) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 least.append(signature(own).tobytes() if len(own) else None)
                 odd.append(odd_sketch(own) if len(own) else None)
-            columns = [batch.column("row_"), batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, least, odd))]
-            yield pa.RecordBatch.from_arrays(columns, ["row_", "doc_id", "n", "digest", "least", "odd"])
+            carried_ = [batch.column(c) for c in ("row_", "doc_id", *TEXT)]
+            columns = [*carried_, pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, least, odd))]
+            yield pa.RecordBatch.from_arrays(columns, ["row_", "doc_id", *TEXT, "n", "digest", "least", "odd"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text_"))
-    return rows.mapInArrow(run, "row_ long, doc_id long, n long, digest binary, least binary, odd binary")
+    rows = docs.select("row_", F.col("id_").cast("long").alias("doc_id"), *text_key(), F.col("text_").cast("binary").alias("text_"))
+    return rows.mapInArrow(run, "row_ long, doc_id long, t1 long, t2 long, n long, digest binary, least binary, odd binary")
 
 
 def tokens(batch):
@@ -153,7 +163,7 @@ def rarity(nodes: DataFrame):
 
 
 def post(nodes: DataFrame, ranks, matches: int) -> DataFrame:
-    """The prefix postings: key, node."""
+    """The prefix postings: key, node, and how common the values of all coordinates of the node are."""
     prefix = COORDINATES - max(1, matches) + 1
 
     def run(batches: Iterator) -> Iterator:
@@ -162,11 +172,13 @@ def post(nodes: DataFrame, ranks, matches: int) -> DataFrame:
 
         for batch in batches:
             own = tokens(batch)
-            order = np.sort(ranks[bucket_of(own).astype("i8")] << np.uint64(38) | own, axis=1)[:, :prefix] & np.uint64(2**38 - 1)
+            ranked_ = ranks[bucket_of(own).astype("i8")]
+            order = np.sort(ranked_ << np.uint64(38) | own, axis=1)[:, :prefix] & np.uint64(2**38 - 1)
             node = np.repeat(batch.column("node").to_numpy(), prefix)
-            yield pa.RecordBatch.from_arrays([pa.array(order.ravel().astype("i8")), pa.array(node)], ["key", "node"])
+            common = np.repeat(ranked_.sum(axis=1, dtype="i8"), prefix)
+            yield pa.RecordBatch.from_arrays([pa.array(order.ravel().astype("i8")), pa.array(node), pa.array(common)], ["key", "node", "common"])
 
-    return nodes.select("node", "least").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "least").mapInArrow(run, "key long, node long, common long")
 
 
 def ranked(parts: DataFrame):
@@ -212,14 +224,22 @@ def unequal(a: str, b: str) -> Column:
     return F.bit_count(x[0].bitwiseOR(x[1]).bitwiseOR(x[2]).bitwiseOR(x[3]))
 
 
+def text_key() -> list[Column]:
+    """128 bits of hashes by which a text is found again in the documents, whatever the order they are read in."""
+    return [F.xxhash64("text_").alias("t1"), F.xxhash64("text_", F.lit(1)).alias("t2")]
+
+
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col("text").cast("binary").alias("text"))
-    return materialize(rows.join(nodes, "node"), "texts")
+    """Texts of nodes (node, t1, t2): node, text; of equal texts one is taken."""
+    rows = docs.select(*text_key(), F.col("text_").cast("binary").alias("text"))
+    return materialize(rows.join(nodes, list(TEXT)).groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Adds to pairs of nodes (a, b) whether they are linked on their full sets."""
-    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # stored, so that the planner knows how few there are and need not shuffle all texts
+    texts = texts_of(docs, materialize(nodes.select("node", *TEXT).join(wanted, "node"), "wanted"))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator) -> Iterator:
@@ -265,65 +285,86 @@ def contract(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link_nodes(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Classes of nodes (node, n, least, odd): node, comp."""
+    """Classes of nodes (node, t1, t2, n, least, odd): node, comp."""
     posted = post(nodes, rarity(nodes), matches_for(percent))
-    shared = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    shared = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     lists = materialize(posted.join(shared, "key"), "lists")
     bits = materialize(planes(nodes.join(lists.select("node").distinct(), "node")), "planes")
     comps = bits.select("node", F.col("node").alias("comp"))
     tested = None
 
-    def put(pairs: DataFrame, k: str):
+    def put(pairs: DataFrame, what: str) -> int:
+        """Tests pairs (a, b), contracts those that are linked, and says how many are."""
         nonlocal comps, tested
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        done = materialize(confirm(materialize(pairs, f"pairs-{k}"), docs, percent), f"tested-{k}")
+        done = materialize(confirm(materialize(pairs, f"pairs-{what}"), nodes, docs, percent), f"tested-{what}")
         new = done.where("linked").select("a", "b")
         tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
-        if new.isEmpty():
-            return False
-        comps = contract(comps, new)
-        return True
+        if links := new.count():
+            comps = contract(comps, new)
+        return links
 
-    def open_lists() -> DataFrame:
+    def open_lists(own: DataFrame) -> DataFrame:
         """The lists that still hold several classes."""
-        own = lists.join(comps, "node")
+        own = own.join(comps, "node")
         several = own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
         return own.join(several, "key")
 
-    for k in range(ROUNDS):
-        own = open_lists()
-        leaders = own.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(k))).alias("leader"))
-        cand = own.join(leaders, "key").where(F.col("node") != F.col("leader")).select("node", "comp", "leader").distinct()
+    round_, first = 0, 0
+    while True:
+        own = open_lists(lists if round_ == 0 else lists.where(F.col("size") > SMALL))
+        draw = F.col("common") if round_ == 0 else F.xxhash64("node", "key", F.lit(round_))
+        classes = own.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max(F.struct(draw.alias("draw"), "node")).alias("first"))
+        largest, drawn = F.max(F.struct("n", "first.draw", "first.node")), F.max(F.struct(F.xxhash64("comp", "key", F.lit(round_)).alias("h"), "first.node"))
+        leaders = classes.groupBy("key").agg(F.array_distinct(F.array(largest["node"], drawn["node"])).alias("leaders"))
+        cand = own.join(leaders.select("key", F.explode("leaders").alias("leader")), "key").where(F.col("node") != F.col("leader")).select("node", "comp", "leader").distinct()
         cand = cand.join(comps.select(F.col("node").alias("leader"), F.col("comp").alias("leader_comp")), "leader").where(F.col("comp") != F.col("leader_comp"))
         x, y = bits.alias("x"), bits.alias("y")
         near = cand.join(x, F.col("x.node") == cand["node"]).join(y, F.col("y.node") == cand["leader"]).where(may_link("x", "y", percent))
         near = near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), cand["node"].alias("node"), F.struct(unequal("x", "y"), F.col("leader")).alias("far"))
         best = near.groupBy("node").agg(F.min(F.struct("far", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
-        if not put(best, str(k)):
+        links = put(best, str(round_))
+        first = first or links
+        if links <= FEW * first:
             break
-    full = open_lists().join(bits, "node")
+        round_ += 1
+    full = open_lists(lists).join(bits, "node")
     a, b = full.alias("a"), full.alias("b")
     rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & may_link("a", "b", percent))
-    put(rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "rest")
-    return comps
-
-
-def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per row: row_ (its number in reading order), doc_id, n_shingles, component_id, kept, first; ``percent``: the least similarity of a link."""
-    pin_scans(docs.sparkSession)
+    rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), unequal("a", "b").alias("far")).groupBy("a", "b").agg(F.min("far").alias("far"))
+    rest = materialize(rest.join(tested, ["a", "b"], "left_anti"), "rest")
+    share = 1
+    while True:
+        of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+        left = rest.join(of("a"), "a").join(of("b"), "b").where("a_comp <> b_comp").join(tested, ["a", "b"], "left_anti")
+        two = [F.least("a_comp", "b_comp").alias("one"), F.greatest("a_comp", "b_comp").alias("other"), F.pmod(F.xxhash64("a", "b"), F.lit(share)).alias("share")]
+        best = materialize(left.groupBy(*two).agg(F.min(F.struct("far", "a", "b")).alias("best")).select("best.a", "best.b"), "best")
+        if best.isEmpty():
+            return comps
+        put(best, "rest")
+        share *= 64
+
+
+def near_dedup(docs: DataFrame, percent: int = PERCENT, keep: list[str] | None = None) -> DataFrame:
+    """Per row: ``keep``, doc_id, n_shingles, component_id, kept, first; ``percent``: the least similarity of a link."""
+    keep = carried(keep or [], ["doc_id", "n_shingles", "component_id", "kept", "first", "row_", "id_", "text_"])
+    columns = [*[F.col(f"`{c}`") for c in keep], F.col("doc_id").alias("id_"), F.col("text").alias("text_")]
+    # rows get their numbers once: here if columns are joined to them later, else as they are signed and stored
+    docs = number_rows(docs, columns) if keep else docs.select(*columns, F.monotonically_increasing_id().alias("row_"))
     signed = materialize(sign(docs), "signed")
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_"))
     classes = materialize(signed.where("n > 0").groupBy("digest").agg(F.min("row_").alias("node"), lead.alias("lead")), "classes")
-    nodes = signed.join(classes.select(F.col("node").alias("row_")), "row_").select(F.col("row_").alias("node"), "n", "least", "odd")
+    nodes = signed.join(classes.select(F.col("node").alias("row_")), "row_").select(F.col("row_").alias("node"), *TEXT, "n", "least", "odd")
     comps = link_nodes(materialize(nodes, "nodes"), docs, percent)
     named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     leads = named.groupBy("comp").agg(F.min("lead").alias("lead"))
     named = named.select("digest", "comp").join(leads, "comp").select("digest", F.col("lead.doc_id").alias("component_id"), F.col("lead.row_").alias("first_row"))
     rows = signed.select("row_", "doc_id", "n", "digest").join(named, "digest", "left")
     own = F.col("digest").isNull()
-    return rows.select(
+    found = rows.select(
         "row_", "doc_id", F.col("n").alias("n_shingles"),
         F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         (own | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"),
         (own | (F.col("row_") == F.col("first_row"))).alias("first"),
     )
+    return (docs.select("row_", *[f"`{c}`" for c in keep]).join(found, "row_") if keep else found).drop("row_")

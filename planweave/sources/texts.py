@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 #: State names and codes; loose spellings of project types.
 STATES = {
-    "ALABAMA": "AL", "ARKANSAS": "AR", "FLORIDA": "FL", "GEORGIA": "GA", "KENTUCKY": "KY", "LOUISIANA": "LA", "MISSISSIPPI": "MS", "MISSOURI": "MO",
-    "NORTH CAROLINA": "NC", "OKLAHOMA": "OK", "SOUTH CAROLINA": "SC", "TENNESSEE": "TN", "TEXAS": "TX", "VIRGINIA": "VA",
+    "ALABAMA": "AL", "ALASKA": "AK", "ARIZONA": "AZ", "ARKANSAS": "AR", "CALIFORNIA": "CA", "COLORADO": "CO", "CONNECTICUT": "CT", "DELAWARE": "DE",
+    "DISTRICT OF COLUMBIA": "DC", "FLORIDA": "FL", "GEORGIA": "GA", "HAWAII": "HI", "IDAHO": "ID", "ILLINOIS": "IL", "INDIANA": "IN", "IOWA": "IA",
+    "KANSAS": "KS", "KENTUCKY": "KY", "LOUISIANA": "LA", "MAINE": "ME", "MARYLAND": "MD", "MASSACHUSETTS": "MA", "MICHIGAN": "MI", "MINNESOTA": "MN",
+    "MISSISSIPPI": "MS", "MISSOURI": "MO", "MONTANA": "MT", "NEBRASKA": "NE", "NEVADA": "NV", "NEW HAMPSHIRE": "NH", "NEW JERSEY": "NJ", "NEW MEXICO": "NM",
+    "NEW YORK": "NY", "NORTH CAROLINA": "NC", "NORTH DAKOTA": "ND", "OHIO": "OH", "OKLAHOMA": "OK", "OREGON": "OR", "PENNSYLVANIA": "PA", "RHODE ISLAND": "RI",
+    "SOUTH CAROLINA": "SC", "SOUTH DAKOTA": "SD", "TENNESSEE": "TN", "TEXAS": "TX", "UTAH": "UT", "VERMONT": "VT", "VIRGINIA": "VA", "WASHINGTON": "WA",
+    "WEST VIRGINIA": "WV", "WISCONSIN": "WI", "WYOMING": "WY",
 }
 TYPES = {"substation": "substation", "switching station": "substation", "transmission line": "transmission line", "line": "transmission line", "transmission": "transmission line", "generation": "generation", "generator": "generation"}
 
