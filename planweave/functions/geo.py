@@ -62,9 +62,15 @@ def with_metres(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.drop(*STAGED)
 
 
-def nearest_points(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Adds ``metres`` and the points where two shapes are closest: a_lat, a_lng, b_lat, b_lng; where they cross, that point twice."""
-    for stage in distance_stages(a, b):
+def nearest_points(pairs: DataFrame, a: str = "a", b: str = "b", planar: bool = False) -> DataFrame:
+    """Adds the points where two shapes are closest: a_lat, a_lng, b_lat, b_lng; where they cross, that point twice.
+
+    ``planar``: closest in degrees, taken as lengths in a plane, not on the ground.
+    """
+    stages = distance_stages(a, b)[:-1]
+    if planar:
+        stages[0:2] = [{"phi": F.lit(0.0), "ky": F.lit(1.0), "kx": F.lit(1.0)}]
+    for stage in stages:
         pairs = pairs.withColumns(stage)
     c = F.col
     at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))

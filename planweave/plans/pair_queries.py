@@ -45,10 +45,6 @@ def best_pair_per_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.best_per_project(coordination(spark, sf_dir))
 
 
-def pairs_in_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coordination(spark, sf_dir).where(F.col("band").isin("touching", "under_1_6", "under_8")).select("pair_id", "band", "tier")
-
-
 def pairs_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides among the named companies: filtered before the join."""
     wanted = [x.lower() for x in ("Georgia Power", "FPL", "TVA", "JEA")]
@@ -62,13 +58,6 @@ def pair_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.where(F.array_contains(F.split("x.me", " / "), "Georgia Power")).groupBy(F.col("x.other").alias("partner")).agg(F.count("*").alias("n_pairs"))
 
 
-def pairs_by_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hundred pairs that share most of their build windows."""
-    order = [F.desc("ratio4"), "gap_days", "a_id", "b_id"]
-    own = coordination(spark, sf_dir).withColumn("ratio4", F.round("ratio", 4)).orderBy(*order).limit(100)
-    return own.select("pair_id", F.col("ratio4").alias("ratio"), "gap_days")
-
-
 def pairs_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = lambda s: F.col(f"{s}_lat1").between(30, 36) & F.col(f"{s}_lng1").between(-95, -85)
     return coordination(spark, sf_dir).where(inside("a") | inside("b")).select("pair_id", "miles")
@@ -201,10 +190,8 @@ SQL = {
     "pair_impacts": COORD + "SELECT pair_id, CASE WHEN tier<=3 THEN low END AS total_low, CASE WHEN tier<=3 THEN high END AS total_high, CASE WHEN tier<=3 THEN low END AS if_aligned_low, CASE WHEN tier<=3 THEN high END AS if_aligned_high FROM coordinated",
     "pair_briefs": COORD + f"SELECT pair_id, {BRIEF_SQL} AS brief FROM coordinated",
     "best_pair_per_project": COORD + "SELECT id, pair_id, tier FROM (SELECT id, pair_id, tier, row_number() OVER (PARTITION BY id ORDER BY tier, composite DESC, miles, a_id, b_id) AS r FROM (SELECT a_id AS id, * FROM coordinated UNION ALL SELECT b_id AS id, * FROM coordinated)) WHERE r=1",
-    "pairs_in_bands": COORD + "SELECT pair_id, band, tier FROM coordinated WHERE band IN ('touching','under_1_6','under_8')",
     "pairs_between": f"WITH {PROJECTS_SQL}, {_JOIN.format(rows='projects')} SELECT a_id, b_id, a.utility AS a_utility, b.utility AS b_utility, round(metres/1609.344,3) AS miles FROM pairs JOIN projects a ON a.id=a_id JOIN projects b ON b.id=b_id WHERE lower(trim(a.utility)) IN ('georgia power','fpl','tva','jea') AND lower(trim(b.utility)) IN ('georgia power','fpl','tva','jea')",
     "pair_partners": COORD + "SELECT other AS partner, count(*) AS n_pairs FROM (SELECT a_company AS me, b_company AS other FROM coordinated UNION ALL SELECT b_company, a_company FROM coordinated) WHERE list_contains(string_split(me,' / '),'Georgia Power') GROUP BY other",
-    "pairs_by_overlap": COORD + "SELECT pair_id, round(ratio,4) AS ratio, gap_days FROM coordinated ORDER BY round(ratio,4) DESC, gap_days, a_id, b_id LIMIT 100",
     "pairs_in_view": COORD + "SELECT pair_id, miles FROM coordinated WHERE (a_lat1 BETWEEN 30 AND 36 AND a_lng1 BETWEEN -95 AND -85) OR (b_lat1 BETWEEN 30 AND 36 AND b_lng1 BETWEEN -95 AND -85)",
     "pair_counts_by_state": COORD + "SELECT state, tier, count(*) AS n_pairs FROM (SELECT a_state AS state, tier FROM coordinated UNION ALL SELECT b_state, tier FROM coordinated WHERE b_state IS DISTINCT FROM a_state) GROUP BY state, tier",
     "build_windows": f"WITH {PROJECTS_SQL}, {WINDOWS_SQL} SELECT id, build_start, build_end, build_end < DATE '{AS_OF}' AS past FROM windowed",
@@ -218,5 +205,5 @@ SQL = {
 
 QUERIES = {
     f.__name__: f
-    for f in (coordination_pairs, distance_self_join, shared_corridors, pair_impacts, pair_briefs, best_pair_per_project, pairs_in_bands, pairs_between, pair_partners, pairs_by_overlap, pairs_in_view, pair_counts_by_state, build_windows, company_names, company_eligibility, partial_dates)
+    for f in (coordination_pairs, distance_self_join, shared_corridors, pair_impacts, pair_briefs, best_pair_per_project, pairs_between, pair_partners, pairs_in_view, pair_counts_by_state, build_windows, company_names, company_eligibility, partial_dates)
 }
