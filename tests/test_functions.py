@@ -65,3 +65,27 @@ def test_parallel_routes_share_their_length(spark):
         found = found.withColumns({k: F.expr(v) for k, v in stage.items()})
     got = {(r.a_id, r.b_id): r.shared_km for r in found.collect()}
     assert 28 < got[1, 2] < 31 and abs(got[1, 3] - 1.6) < 0.01
+
+
+def test_names_in_title_case(spark):
+    want = {
+        "MCDONOUGH - OLA 230KV LINE": "McDonough - Ola 230kV Line", "LOOP IN 500/230KV (FPL)": "Loop In 500/230kV (FPL)", "LG&E AND KU": "LG&E and KU",
+        "GOSHEN (SAV) - MCINTOSH": "Goshen (SAV) - McIntosh", "ATLAS BESS IV": "Atlas BESS IV", "201LC 8ME": "201LC 8ME", "CVE US NY RIVERHEAD 215": "CVE US NY Riverhead 215",
+        "CITY OF BELLEVILLE - (KS)": "City of Belleville - (KS)", "SOLAR1 PROJECT2 TS25-422": "Solar1 Project2 TS25-422", "3RD ST - 31ST AVE": "3rd St - 31st Ave",
+        "O'BANNION SMITH'S FT MYERS": "O'Bannion Smith's Ft Myers", "LA GRANGE - EL DORADO": "La Grange - El Dorado", "NEXTERA ENERGY RESOURCES - ERCOT": "NextEra Energy Resources - ERCOT",
+        "8ME SOLAR 1ST": "8ME Solar 1st", "BLVD POWER": "Blvd Power",
+    }
+    rows = spark.createDataFrame(list(want.items()), "raw string, name string").withColumn("got", owners.title_case(F.col("raw")))
+    rows = rows.withColumn("again", owners.title_case(F.col("got")))
+    assert [(r.raw, r.got, r.again) for r in rows.collect()] == [(k, v, v) for k, v in want.items()]
+
+
+def test_canonical_names_keep_their_parents(spark):
+    want = {
+        "CITY OF COLORADO SPRINGS - (CO)": "City of Colorado Springs - (CO)", "Enbridge Solar (Sequoia II) LLC": "Enbridge Solar (Sequoia II)", "Atlas BESS IV, LLC": "Atlas BESS IV",
+        "SCANA Corporation": "SCANA", "NextEra Energy Resources - ERCOT, LLC": "NextEra Energy Resources - ERCOT", "Met-Ed": "Met-Ed", "TVA": "TVA", "NEXTERA ENERGY RESOURCES, LLC": "NextEra Energy Resources",
+        "Acmex, L.L.C.": "Acmex", "JEA/FPL": "JEA / Florida Power & Light",
+    }
+    rows = spark.createDataFrame(list(want.items()), "raw string, name string").select("raw", owners.canonical_utility(F.col("raw")).alias("got"))
+    assert {r.raw: r.got for r in rows.collect()} == want
+    assert one(spark, owners.parent(owners.canonical_utility(F.lit("NEXTERA ENERGY RESOURCES, LLC")))) == "NextEra Energy"
