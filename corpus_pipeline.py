@@ -33,8 +33,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = near_dedup.near_dedup(docs, NEAR_PERCENT).where("first").select("row_")
-    return docs.withColumn("row_", F.monotonically_increasing_id()).join(first, "row_").select(COLUMNS)
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    return near_dedup.near_dedup(docs, NEAR_PERCENT, rest).where("first").select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

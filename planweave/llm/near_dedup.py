@@ -238,8 +238,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Adds to pairs of nodes (a, b) whether they are linked on their full sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # stored, so that the planner knows how few there are and need not shuffle all texts
-    texts = texts_of(docs, materialize(nodes.select("node", *TEXT).join(wanted, "node"), "wanted"))
+    texts = texts_of(docs, nodes.select("node", *TEXT).join(wanted, "node"))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator) -> Iterator:

@@ -20,7 +20,7 @@ def prose(rng, n):
     return " ".join("".join(rng.choice("bcdfgklmnprst") + rng.choice(VOWELS) for _ in range(rng.randint(1, 4))) for _ in range(n))
 
 
-def brute_classes(rows):
+def brute_classes(rows, percent=85):
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
@@ -34,7 +34,7 @@ def brute_classes(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
