@@ -13,7 +13,7 @@ WHITE = " \t\n\x0b\x0c\r"
 
 
 #: Rows of an Arrow batch: texts may be long, and a batch lies in memory several times.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16_000_000
+BATCH_ROWS, BATCH_BYTES = 2_000, 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,17 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pin_scans(spark: SparkSession) -> None:
-    """Fix the number by which Spark splits small tables into partitions.
-
-    It follows the cores at hand, which change when an executor is lost; operators that number the rows of a
-    stored table in more than one scan need the same partitions each time.
-    """
-    key = "spark.sql.leafNodeDefaultParallelism"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, spark.sparkContext.defaultParallelism)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -65,7 +54,7 @@ def materialize(df: DataFrame, what: str = "table", rows: int | None = None) ->
     """
     spark = df.sparkSession
     path = new_path(spark, what)
-    (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).write.parquet(path)
+    (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,6 +63,15 @@ def number_rows(docs: DataFrame, columns: list) -> DataFrame:
     return materialize(docs.select(*columns, F.monotonically_increasing_id().alias("row_")), "rows")
 
 
+#: Columns that hold the hashes of a text.
+TEXT = ("t1", "t2")
+
+
+def text_key(text: str = "text_") -> list[Column]:
+    """128 bits of hashes by which a text is found again in the documents, whatever the order they are read in."""
+    return [F.xxhash64(F.col(text)).alias("t1"), F.xxhash64(F.col(text), F.lit(1)).alias("t2")]
+
+
 def carried(keep: list[str], own: list[str]) -> list[str]:
     """The columns to carry: those of ``keep`` but for names that the operator itself gives to a column."""
     return [c for c in keep if c not in own]

@@ -37,18 +37,18 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, materialize, number_rows
+from .common import TEXT, carried, materialize, number_rows, text_key
 
 SHINGLE = 5
 COORDINATES = 64
 #: Least similarity of a link in hundredths if none is given, and how often a pair of the least similarity may fail by its signature.
 PERCENT, MISSED = 85, 1.5e-6
 SKETCH_BITS = 16
-#: Columns that hold the hashes of a text.
-TEXT = ("t1", "t2")
 #: Cells of the odd sketch, and the numbers that hold them.
 CELLS = 512
 ODD = [f"o{k}" for k in range(CELLS // 64)]
+#: Parts that the copies of a text are dealt to.
+SALTS = 8
 #: Lists of at most so many nodes have a bounded number of pairs for each posting.
 SMALL = 8
 #: Rounds of leaders end with one that links less than this part of what the first one did.
@@ -224,15 +224,11 @@ def unequal(a: str, b: str) -> Column:
     return F.bit_count(x[0].bitwiseOR(x[1]).bitwiseOR(x[2]).bitwiseOR(x[3]))
 
 
-def text_key() -> list[Column]:
-    """128 bits of hashes by which a text is found again in the documents, whatever the order they are read in."""
-    return [F.xxhash64("text_").alias("t1"), F.xxhash64("text_", F.lit(1)).alias("t2")]
-
-
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Texts of nodes (node, t1, t2): node, text; of equal texts one is taken."""
-    rows = docs.select(*text_key(), F.col("text_").cast("binary").alias("text"))
-    return materialize(rows.join(nodes, list(TEXT)).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    """Texts of nodes (node, t1, t2): node, text; of equal texts, which are dealt out by a salt, one is taken."""
+    rows = docs.select(*text_key(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt"), F.col("text_").cast("binary").alias("text"))
+    nodes = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return materialize(rows.join(nodes, [*TEXT, "salt"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
