@@ -38,8 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), COLUMNS)
-    return found.where(~F.col("contaminated")).select(COLUMNS)
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

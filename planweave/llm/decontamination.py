@@ -1,10 +1,11 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-Rows are numbered once and stored; three passes follow, none of which shuffles a text. The first counts how often each
-benchmark word occurs in the corpus. The second stores the index, dealt by document: for each document that holds the rarest word of
+Three passes, none of which shuffles a text. The first counts how often each benchmark word occurs in the corpus. The
+second stores the index, dealt by document: for each document that holds the rarest word of
 any window, the postings (word, positions) of the words of these windows. The third intersects, for each
 window, the position lists moved by the word's offset, from the rarest word on, and keeps exact phrases and,
-if ``slop`` is given, proximity matches: the rarest word in its place, every other one at most ``slop`` words from its. The benchmark is the query set: it goes to the tasks in blocks of at most
+if ``slop`` is given, proximity matches: the rarest word in its place, every other one at most ``slop`` words from its.
+What is found is joined to the documents by hashes of the whole text. The benchmark is the query set: it goes to the tasks in blocks of at most
 ``BLOCK_BYTES`` of text, so what is broadcast is bounded whatever its size.
 
 Words are runs of ASCII digits and letters (in lower case) and of any characters beyond ASCII.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, materialize, number_rows, worker_state
+from .common import TEXT, carried, materialize, text_key, worker_state
 
 WINDOW = 13
 BLOCK_BYTES = 4_000_000
@@ -34,7 +35,7 @@ SEGMENT = 4_000_000
 #: Hit spans that are held before they are merged.
 SPANS = 10_000
 #: Columns that the operator adds or uses.
-OWN = ["n_words", "n_hit", "spans", "items", "near_items", "contaminated", "row_", "text_"]
+OWN = ["n_words", "n_hit", "spans", "items", "near_items", "contaminated", "text_", *TEXT]
 
 #: One byte for each byte: ASCII letters in lower case, digits and bytes beyond ASCII as they are, the rest a space.
 BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
@@ -122,7 +123,7 @@ def corpus_counts(docs: DataFrame, items: list[tuple[str, list[bytes]]]) -> dict
 
 
 def build_index(docs: DataFrame, name: str, sent) -> DataFrame:
-    """Per document: row_, n_words, and postings of the windows whose rarest word it holds."""
+    """Per document: hashes of its text, n_words, and the postings of the windows whose rarest word it holds, if any."""
 
     def post(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -136,22 +137,26 @@ def build_index(docs: DataFrame, name: str, sent) -> DataFrame:
                 parts = list(words_in(text.as_py()))
                 n_words.append(sum(map(len, parts)))
                 found = set().union(*map(anchors.intersection, parts))
-                own: dict[bytes, list[int]] = {w: [] for w in query.needed(found)} if found else {}
+                if not found:
+                    postings.append(None)
+                    continue
+                own: dict[bytes, list[int]] = {w: [] for w in query.needed(found)}
                 at = 0
-                for words in parts if found else ():
-                    for i, w in enumerate(words, at):
+                for words in parts:
+                    for k, w in enumerate(words, at):
                         if w in own:
-                            own[w].append(i)
+                            own[w].append(k)
                     at += len(words)
                 postings.append([{"word": w, "at": p} for w, p in own.items() if p])
-            yield pa.RecordBatch.from_arrays([batch.column("row_"), pa.array(n_words, pa.int64()), pa.array(postings, kind)], ["row_", "n_words", "postings"])
+            keys = [batch.column(c) for c in TEXT]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(n_words, pa.int64()), pa.array(postings, kind)], [*TEXT, "n_words", "postings"])
 
-    rows = docs.select("row_", F.col("text_").cast("binary").alias("text_"))
-    return rows.mapInArrow(post, "row_ long, n_words long, postings array<struct<word: binary, at: array<int>>>")
+    rows = docs.select(*text_key(), F.col("text_").cast("binary").alias("text_"))
+    return rows.mapInArrow(post, "t1 long, t2 long, n_words long, postings array<struct<word: binary, at: array<int>>>")
 
 
 def search_index(index: DataFrame, name: str, sent, slop: int = 0) -> DataFrame:
-    """Per document: row_, n_words, hit spans (first, last), items hit, and items only near by."""
+    """Per text with a hit: its hashes, hit spans (first, last), items hit, and items only near by."""
 
     def search(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -175,10 +180,12 @@ def search_index(index: DataFrame, name: str, sent, slop: int = 0) -> DataFrame:
                 spans.append([list(x) for x in merged(hits)])
                 items.append(sorted(exact))
                 near.append(sorted(close - exact))
-            columns = [batch.column("row_"), batch.column("n_words"), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row_", "n_words", "spans", "items", "near_items"])
+            columns = [*(batch.column(c) for c in (*TEXT, "n_words")), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, [*TEXT, "n_words", "spans", "items", "near_items"])
 
-    return index.mapInArrow(search, "row_ long, n_words long, spans array<array<int>>, items array<string>, near_items array<string>")
+    found = index.where("postings IS NOT NULL").mapInArrow(search, "t1 long, t2 long, n_words long, spans array<array<int>>, items array<string>, near_items array<string>")
+    own = [F.first(c).alias(c) for c in ("n_words", "spans", "items", "near_items")]  # copies of a text have the same hits
+    return found.where("size(items) + size(near_items) > 0").groupBy(*TEXT).agg(*own)
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
@@ -192,27 +199,43 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def find_contamination(docs: DataFrame, bench: DataFrame, keep: list[str] | None = None, window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: ``keep``, n_words, n_hit, spans, items, near_items and contaminated."""
-    keep = carried(keep or ["doc_id"], OWN)
+def search_texts(docs: DataFrame, bench: DataFrame, window: int, slop: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Of documents (text_): the number of words of each text, and what is found in those with a hit, by hashes of the text; both stored."""
     size = bench.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    docs = number_rows(docs, [*[F.col(f"`{c}`") for c in keep], F.col("text").alias("text_")])
-    found = []
+    counts, hits = None, None
     for b in range(blocks):
         items, name = read_items(bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)), uuid.uuid4().hex
         sent = docs.sparkSession.sparkContext.broadcast((items, corpus_counts(docs, items), window))
-        found.append(search_index(materialize(build_index(docs, name, sent), "index"), name, sent, slop))
-    hits = found[0]
-    for f in found[1:]:
-        hits = hits.union(f)
+        index = materialize(build_index(docs, name, sent), "index")
+        counts = index.groupBy(*TEXT).agg(F.first("n_words").alias("n_words")) if counts is None else counts
+        found = search_index(index, name, sent, slop)
+        hits = found if hits is None else hits.union(found)
     joined = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    hits = hits.groupBy("row_").agg(F.max("n_words").alias("n_words"), *[joined(c) for c in ("spans", "items", "near_items")])
+    hits = hits.groupBy(*TEXT).agg(F.first("n_words").alias("n_words"), *[joined(c) for c in ("spans", "items", "near_items")])
     hits = hits.withColumn("spans", merge_spans("spans")).withColumn("items", F.array_sort(F.array_distinct("items")))
     hits = hits.withColumn("near_items", F.array_sort(F.array_distinct(F.array_except("near_items", "items"))))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0] + 1)
     hits = hits.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    return docs.select("row_", *[f"`{c}`" for c in keep]).join(hits, "row_").drop("row_")
+    return counts, materialize(hits, "hits")  # stored, so that the planner knows how few there are
+
+
+def find_contamination(docs: DataFrame, bench: DataFrame, keep: list[str] | None = None, window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: ``keep``, n_words, n_hit, spans, items, near_items and contaminated."""
+    keep = carried(keep or ["doc_id"], OWN)
+    docs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("text_"))
+    counts, hits = search_texts(docs, bench, window, slop, block_bytes)
+    rows = docs.select(*[f"`{c}`" for c in keep], *text_key()).join(counts, list(TEXT)).join(hits.drop("n_words"), list(TEXT), "left").drop(*TEXT)
+    none = {c: F.array().cast(hits.schema[c].dataType) for c in ("spans", "items", "near_items")} | {"n_hit": F.lit(0).cast("long"), "contaminated": F.lit(False)}
+    return rows.withColumns({c: F.coalesce(c, v) for c, v in none.items()})
+
+
+def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, all columns as they are, whose text is not contaminated; texts are not moved unless many are."""
+    _, hits = search_texts(docs.select(F.col("text").alias("text_")), bench, window, 0, block_bytes)
+    gone = hits.where("contaminated").select(*[F.col(c).alias(f"{c}_") for c in TEXT])
+    one, two = text_key("text")
+    return docs.join(gone, (one == F.col("t1_")) & (two == F.col("t2_")), "left_anti")
 
 
 def merge_spans(column: str):
