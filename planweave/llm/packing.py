@@ -30,13 +30,13 @@ BUCKET = 40_000
 #: A bin under this share is opened again in the next round.
 FULL = 0.99
 #: Words of letters whose ids a worker remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Punctuation that the tokenizer always splits from a word of letters.
 TAIL = ".,;:!?"
 #: Words of letters that the tokenizer keeps whole and lower-cases letter by letter: ASCII, Latin-1 and Latin Extended-A but for the dotted capital I.
 LATIN = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}]*$"
 #: Bytes of text that are split into words at a time.
-SEGMENT = 4_000_000
+SEGMENT = 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

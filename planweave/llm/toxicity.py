@@ -32,7 +32,9 @@ LEXICON = 2_000
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 #: Words between a hit and a second-person word that count as near.
 NEAR = 5
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Words and beginnings that a task counts before it hands its counts on.
+COUNTED = 100_000
 #: Parts of the sample that the calibration is fitted across.
 FOLDS = 3
 
@@ -217,15 +219,21 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def rows(own: Counter, y: int):
+            keys = list(own)
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1:] for k in keys], pa.string()), pa.array(own.values(), pa.int64()), pa.array([y] * len(keys), pa.int32())]
+            own.clear()
+            return pa.RecordBatch.from_arrays(columns, ["kind", "token", "n", "y"])
+
         own = (Counter(), Counter())
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cores = {core_of(w) for w in set((text or "").split())} - {""}
-                own[y].update({("w", c) for c in cores} | {("s", c[:k]) for c in cores for k in STEMS if len(c) > k})
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                cores = {core_of(w) for w in set((text.as_py() or "").split())} - {""}
+                own[y].update({"w" + c for c in cores} | {"s" + c[:k] for c in cores for k in STEMS if len(c) > k})
+                if len(own[y]) > COUNTED:
+                    yield rows(own[y], y)
         for y in (0, 1):
-            keys = list(own[y])
-            columns = [pa.array([k for k, _ in keys], pa.string()), pa.array([c for _, c in keys], pa.string()), pa.array([own[y][k] for k in keys], pa.int64()), pa.array([y] * len(keys), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["kind", "token", "n", "y"])
+            yield rows(own[y], y)
 
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     of = lambda y: F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0))
