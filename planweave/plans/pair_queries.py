@@ -78,12 +78,13 @@ def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def company_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which companies with projects in the table may be matched with which: over distinct names only."""
-    names = projects(spark, sf_dir).select("utility").distinct().withColumn("company", owners.canonical_utility(F.col("utility")))
-    full = names.withColumns(owners.ownership(F.col("company"))).withColumn("letter", F.lit(1))
+    """Which companies with projects in one state may be matched: over distinct names of each state only."""
+    own = projects(spark, sf_dir).where("state IS NOT NULL").select("state", "utility").distinct()
+    names = own.select("utility").distinct().withColumn("company", owners.canonical_utility(F.col("utility")))
+    full = own.join(names.withColumns(owners.ownership(F.col("company"))), "utility")
     a, b = pairs.prefixed(full, "a"), pairs.prefixed(full, "b")
-    both = a.join(b, (F.col("a_letter") == F.col("b_letter")) & (F.col("a_utility") < F.col("b_utility")))
-    return both.select("a_utility", "b_utility", owners.different_companies("a", "b").alias("eligible"))
+    both = a.join(b, (F.col("a_state") == F.col("b_state")) & (F.col("a_utility") < F.col("b_utility")))
+    return both.select(F.col("a_state").alias("state"), "a_utility", "b_utility", owners.different_companies("a", "b").alias("eligible"))
 
 
 def partial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,8 +197,8 @@ SQL = {
     "pair_counts_by_state": COORD + "SELECT state, tier, count(*) AS n_pairs FROM (SELECT a_state AS state, tier FROM coordinated UNION ALL SELECT b_state, tier FROM coordinated WHERE b_state IS DISTINCT FROM a_state) GROUP BY state, tier",
     "build_windows": f"WITH {PROJECTS_SQL}, {WINDOWS_SQL} SELECT id, build_start, build_end, build_end < DATE '{AS_OF}' AS past FROM windowed",
     "company_names": f"WITH {PROJECTS_SQL}, {COMPANIES_SQL} SELECT utility, company, count(*) AS n FROM projects JOIN companies USING (utility) GROUP BY ALL",
-    "company_eligibility": f"""WITH {PROJECTS_SQL}, {COMPANIES_SQL}, u AS (SELECT * FROM companies WHERE utility IN (SELECT utility FROM projects))
-      SELECT a.utility AS a_utility, b.utility AS b_utility, a.company IS NOT NULL AND b.company IS NOT NULL AND NOT list_has_any(string_split(coalesce(a.entities,'-a'),','),string_split(coalesce(b.entities,'-b'),',')) AND (NOT (a.needs_review OR b.needs_review) OR coalesce(a.family<>b.family,false)) AS eligible FROM u a JOIN u b ON a.utility<b.utility""",
+    "company_eligibility": f"""WITH {PROJECTS_SQL}, {COMPANIES_SQL}, u AS (SELECT DISTINCT state, companies.* FROM companies JOIN projects USING (utility) WHERE state IS NOT NULL)
+      SELECT a.state, a.utility AS a_utility, b.utility AS b_utility, a.company IS NOT NULL AND b.company IS NOT NULL AND NOT list_has_any(string_split(coalesce(a.entities,'-a'),','),string_split(coalesce(b.entities,'-b'),',')) AND (NOT (a.needs_review OR b.needs_review) OR coalesce(a.family<>b.family,false)) AS eligible FROM u a JOIN u b ON a.state=b.state AND a.utility<b.utility""",
     "partial_dates": """WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderkey%13 AS f FROM orders)
       SELECT k, (CASE WHEN f IN (0,1,9,10) THEN d WHEN f IN (2,3,8) THEN date_trunc('month',d) WHEN f IN (4,5,6) THEN date_trunc('quarter',d) WHEN f=7 THEN date_trunc('year',d) END)::DATE AS first_day,
         CASE WHEN f IN (0,1,9,10) THEN 'day' WHEN f IN (2,3,8) THEN 'month' WHEN f IN (4,5,6) THEN 'quarter' WHEN f=7 THEN 'year' END AS precision FROM o""",
