@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_extract, language_id, line_dedup, near_dedup, packing, quality_rules, toxicity, warc
+from . import chat_format, clustering, decontamination, html_extract, language_id, line_dedup, mixing, near_dedup, packing, quality_rules, toxicity, warc, whitening
 from .common import table
 
 
@@ -75,6 +75,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.kmeans(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", *[F.col(c).try_cast("long").alias(c) for c in ("distance", "cluster_inertia", "inertia")], "centroid_sha256")
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -148,9 +162,27 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r) LEFT JOIN y USING (r)
 """
 
 
+def op13_sql() -> str:
+    """The rounds one after the other: assignment, sums, centroids."""
+    steps = [
+        "v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64)",
+        "c0 AS (SELECT k, x FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR) NULLS LAST, x) - 1 AS k, x FROM v) WHERE k < 40)",
+    ]
+    for t in range(6):
+        steps.append(f"d{t} AS MATERIALIZED (SELECT r, vec_id, v.x AS x, k, list_sum(list_transform(list_zip(v.x, c{t}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{t})")
+        steps.append(f"a{t} AS MATERIALIZED (SELECT r, min(vec_id) AS vec_id, arg_min(x, [d, k]) AS x, arg_min(k, [d, k]) AS k, min(d) AS d FROM d{t} GROUP BY r)")
+        if t < 5:
+            steps.append(f"e{t} AS (SELECT k, list(floor_ ORDER BY j) AS x FROM (SELECT k, j, CASE WHEN s % n < 0 THEN (s - s % n) // n - 1 ELSE s // n END::BIGINT AS floor_ FROM (SELECT k, j, sum(x[j]) AS s, count(*) AS n FROM a{t}, unnest(range(1, 65)) u(j) GROUP BY k, j)) GROUP BY k)")
+            steps.append(f"c{t + 1} AS MATERIALIZED (SELECT c{t}.k, coalesce(e{t}.x, c{t}.x) AS x FROM c{t} LEFT JOIN e{t} USING (k))")
+    return (
+        "WITH " + ",\n".join(steps) + "\nSELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, "
+        "sha256(array_to_string(c5.x, ',')) AS centroid_sha256 FROM a5 JOIN c5 USING (k)"
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_html_extraction, op4_chat_formatting, op5_benchmark_decontamination, op6_language_id, op7_best_fit_packing, op8_toxicity, op9_minhash_near_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_html_extraction, op4_chat_formatting, op5_benchmark_decontamination, op6_language_id, op7_best_fit_packing, op8_toxicity, op9_minhash_near_dedup, op10_line_dedup, op11_mixing, op12_whitening, op13_clustering)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL}
+    return {"op1_warc": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL, "op13_clustering": op13_sql()}
