@@ -35,26 +35,62 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select([F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
 
 
+#: Rows of a side in one cell, above which the cell is dealt in parts; so many dense cells may be sent to every task.
+DENSE, SENT = 2_000, 20_000
+
+
+def dense_cells(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells in which a side has more than ``DENSE`` rows: band_, cell_, and in how many parts each side is dealt there (pa_, pb_)."""
+    side = lambda df, s, na, nb: df.select(F.col(f"{s}_band_").alias("band_"), F.col(f"{s}_cell_").alias("cell_"), F.lit(na).alias("na"), F.lit(nb).alias("nb"))
+    counts = side(a, "a", 1, 0).unionByName(side(b, "b", 0, 1)).groupBy("band_", "cell_").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / DENSE)).cast("int")
+    return counts.where((F.col("na") > DENSE) | (F.col("nb") > DENSE)).where("na > 0 AND nb > 0").select("band_", "cell_", parts("na").alias("pa_"), parts("nb").alias("pb_"))
+
+
+def dealt(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a part each (``part_a``, ``part_b``): in a dense cell a row of one side meets every part of the other, and is in one of its own.
+
+    So a cell's pairs are spread over parts of bounded size, each pair in one of them, and no cell is work for one task.
+    """
+    dense = dense_cells(a, b)
+    found = dense.limit(SENT + 1).collect()
+    if not found:
+        return a.withColumns({"a_part_a": F.lit(0), "a_part_b": F.lit(0)}), b.withColumns({"b_part_a": F.lit(0), "b_part_b": F.lit(0)})
+    if len(found) <= SENT:  # few enough to be sent out; else the planner joins them as it likes
+        dense = F.broadcast(a.sparkSession.createDataFrame([tuple(r) for r in found], dense.schema))
+
+    def parts(df: DataFrame, s: str) -> DataFrame:
+        own, other = ("a", "b") if s == "a" else ("b", "a")
+        on = dense.select(F.col("band_").alias(f"{s}_band_"), F.col("cell_").alias(f"{s}_cell_"), "pa_", "pb_")
+        joined = df.join(on, [f"{s}_band_", f"{s}_cell_"], "left")
+        mine = F.coalesce(F.pmod(F.xxhash64(f"{s}_id", *[f"{s}_{c}" for c in SHAPE]), F.col(f"p{own}_")).cast("int"), F.lit(0))
+        met = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"p{other}_"), F.lit(1)) - 1))
+        return joined.select(*df.columns, mine.alias(f"{s}_part_{own}"), met.alias(f"{s}_part_{other}"))
+
+    return parts(a, "a"), parts(b, "b")
+
+
 def candidate_pairs(projects: DataFrame, radius_m: float = RADIUS_M, extra: Column | None = None, others: DataFrame | None = None) -> DataFrame:
     """Each pair a.id < b.id of unlike companies whose shapes are within the radius, once: a_ and b_ columns, metres.
 
-    Cells are joined on equality, so the join is hashed or merged and its skew can be split; a pair that meets
-    in several cells is kept in the first. Only one side is grown by the radius. The join tests boxes and ``extra``,
-    the distance is worked out once for what passes. With ``others`` the pairs are those of a row of ``projects``
-    with one of ``others``, whichever id is less.
+    Cells are joined on equality; a pair that meets in several cells is kept in the first. Only one side is grown by the
+    radius. Cells with many rows are dealt in parts, which the data decides, not the planner. The join tests boxes and
+    ``extra``, the distance is worked out once for what passes. With ``others`` the pairs are those of a row of
+    ``projects`` with one of ``others``, whichever id is less.
     """
     unit = max(radius_m, RADIUS_M)
     placed = lambda df: df.where(F.col("lat1").isNotNull() & F.col("lng1").isNotNull()).withColumn("key_", F.lower(F.trim("utility")))
     a, b = prefixed(cells(placed(projects), radius_m, unit), "a"), prefixed(cells(placed(projects if others is None else others), 0, unit), "b")
+    a, b = dealt(a, b)
     c = F.col
     once = (c("a_band_") == F.greatest("a_band0_", "b_band0_")) & (c("a_cell_") == F.greatest("a_cell0_", "b_cell0_"))
     boxes = (c("b_south") <= c("a_north")) & (c("b_north") >= c("a_south")) & (c("b_west") <= c("a_east")) & (c("b_east") >= c("a_west"))
     ids = c("a_id") < c("b_id") if others is None else c("a_id") != c("b_id")
-    on = (c("a_band_") == c("b_band_")) & (c("a_cell_") == c("b_cell_")) & ids & once & boxes & (c("a_key_") != c("b_key_"))
-    helpers = [f"{s}_{n}" for s in "ab" for n in ("band_", "band0_", "cell_", "cell0_", "key_", "south", "north", "west", "east")]
-    # the number of candidates, not the bytes of the inputs, is the work: cells are dealt out even where the planner would broadcast a side
-    a, b = a.repartition("a_band_", "a_cell_"), b.repartition("b_band_", "b_cell_")
-    joined = a.join(b, on if extra is None else on & extra).drop(*helpers)
+    keys = (c("a_band_") == c("b_band_")) & (c("a_cell_") == c("b_cell_")) & (c("a_part_a") == c("b_part_a")) & (c("a_part_b") == c("b_part_b"))
+    on = keys & ids & once & boxes & (c("a_key_") != c("b_key_"))
+    helpers = [f"{s}_{n}" for s in "ab" for n in ("band_", "band0_", "cell_", "cell0_", "key_", "south", "north", "west", "east", "part_a", "part_b")]
+    # the number of candidates, not the bytes of the inputs, is the work: merged, so that cells are dealt out even where the planner would broadcast a side
+    joined = a.hint("merge").join(b, on if extra is None else on & extra).drop(*helpers)
     # a column that is not deterministic keeps the filter above the stages of the distance, which else would be worked out in it again
     found = geo.with_metres(joined).withColumn("row_", F.monotonically_increasing_id())
     return found.where((c("metres") <= radius_m) & (c("row_") >= 0)).drop("row_")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import maintenance, pairs, search
+from ..operators import maintenance, pairs, search, similar
 from ..sources import pages
-from .fixtures import AS_OF, NAMES, PROJECTS_SQL, pick, projects, table
+from .fixtures import AS_OF, NAMES, PLACES, PROJECTS_SQL, pick, projects, table
 from .pair_queries import COMPANIES_SQL, WINDOWS_SQL
 
 WITH = f"WITH {PROJECTS_SQL} "
@@ -27,8 +27,23 @@ def near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names like a misspelt place: similarity is worked out once per distinct name."""
     names = projects(spark, sf_dir).groupBy("name").agg(F.count("*").alias("n"))
-    scored = names.withColumn("similarity", search.word_similarity("valdost thomasvile", F.col("name")))
-    return scored.where(F.col("similarity") >= 0.5).select("name", "n", F.round("similarity", 6).alias("similarity"))
+    hits = similar.word_similarity_join(spark.createDataFrame([(1, "valdost thomasvile")], "id int, q string"), names)
+    return hits.join(names, "name").select("name", "n", F.round("similarity", 6).alias("similarity"))
+
+
+def misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query a customer: two places, one with a letter lost, some with a word that nothing bears."""
+    c = F.col("c_custkey")
+    short = lambda p, i: F.concat(F.substring(p, F.lit(1), i), F.substr(p, i + 2))
+    first = short(F.lower(pick(PLACES, c % 16)), (2 + c % 3).cast("int"))
+    rest = F.when(c % 7 == 0, F.lit("Solar")).when(c % 5 == 0, F.lit("")).otherwise(pick(PLACES, (c * 3 + c / 16).cast("long") % 16))
+    return table(spark, sf_dir, "customer").select(c.alias("id"), F.trim(F.concat(first, F.lit(" "), rest)).alias("q"))
+
+
+def fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every misspelt query with the names of projects and parts that are similar to it."""
+    names = projects(spark, sf_dir).select("name").union(projects(spark, sf_dir).select("location_ref")).union(table(spark, sf_dir, "part").select("p_name"))
+    return similar.word_similarity_join(misspelt(spark, sf_dir), names).select("id", "name", F.round("similarity", 6).alias("similarity"))
 
 
 def search_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,6 +238,7 @@ _V = ", ".join(f"{{'lng': -100+{_AT(7919, 0)}*20+{i}*{_AT(31, i)}, 'lat': 28+{_A
 LINES_SQL = f"""lines AS (SELECT *, CASE WHEN kv0>0 THEN kv0 END AS kv, nullif(upper(trim(owner)),'UNKNOWN') AS owner_norm, ({_LEN.format(a='v0', b='v1')}+{_LEN.format(a='v1', b='v2')})/1000 AS km FROM (
   SELECT p_partkey AS id, list_extract({NAMES!r}, CAST(p_size%24+1 AS INT)) AS owner, CASE WHEN p_size%7=0 THEN -999999 ELSE list_extract([69,115,138,230,345,500,765], CAST(p_partkey%7+1 AS INT)) END AS kv0, {_V} FROM part))"""
 _TRI = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({t}),'[^a-z0-9]+',' ','g'),' '), lambda w: w<>''), lambda w: list_transform(range(1,length(w)+2), lambda i: substr('  '||w||' ',i,3)))))"
+_PICK = lambda values, k: f"list_extract({values!r}, CAST({k}+1 AS INT))"
 _PATCHED = f"""{WITH}, p AS (SELECT id, CASE WHEN (id-1)%2=0 THEN 33.25::DOUBLE END AS nlat, CASE WHEN (id-1)%10=0 THEN DATE '2000-01-01' ELSE end_date+30 END AS nend FROM projects WHERE (id-1)%97=0),
   j AS (SELECT projects.*, p.id IS NOT NULL AS hit, nlat, nend, p.id IS NOT NULL AND coalesce(start_date <= coalesce(nend,end_date), true) AS ok FROM projects LEFT JOIN p USING (id)) """
 
@@ -234,13 +250,22 @@ SQL = {
       e AS (SELECT name, n, q, list_distinct(t[a:b]) AS e FROM t, unnest(range(1,len(t)+1)) x(a), unnest(range(1,len(t)+1)) y(b) WHERE a<=b),
       s AS (SELECT name, n, max(len(list_intersect(e,q))/CAST(len(e)+len(q)-len(list_intersect(e,q)) AS DOUBLE)) AS s FROM e GROUP BY ALL)
       SELECT name, n, round(s,6) AS similarity FROM s WHERE s>=0.5""",
+    "fuzzy_matches": WITH + f""", q AS (SELECT *, {_TRI.format(t="q")} AS t FROM (SELECT id, trim(substr(p,1,i)||substr(p,i+2)||' '||r) AS q FROM (SELECT c_custkey AS id, 2+c_custkey%3 AS i,
+        lower({_PICK(PLACES, 'c_custkey%16')}) AS p, CASE WHEN c_custkey%7=0 THEN 'Solar' WHEN c_custkey%5=0 THEN '' ELSE {_PICK(PLACES, 'floor(c_custkey*3+c_custkey/16.0)::BIGINT%16')} END AS r FROM customer))),
+      n AS (SELECT DISTINCT name FROM (SELECT name FROM projects UNION ALL SELECT location_ref FROM projects UNION ALL SELECT p_name FROM part)),
+      o AS (SELECT name, flatten(list_transform(list_filter(string_split(regexp_replace(lower(name),'[^a-z0-9]+',' ','g'),' '), lambda w: w<>''), lambda w: list_transform(range(1,length(w)+2), lambda i: substr('  '||w||' ',i,3)))) AS t FROM n),
+      g AS (SELECT DISTINCT name, unnest(t) AS g FROM o), h AS (SELECT DISTINCT t, unnest(t) AS g FROM q),
+      m AS (SELECT h.t AS q, name, count(*) AS c FROM h JOIN g USING (g) GROUP BY ALL HAVING count(*)*2 >= len(h.t)),
+      e AS (SELECT q, name, list_distinct(o.t[a:b]) AS e FROM m JOIN o USING (name), unnest(range(1,len(o.t)+1)) x(a), unnest(range(1,len(o.t)+1)) y(b) WHERE a<=b AND list_contains(q, o.t[a]) AND list_contains(q, o.t[b])),
+      s AS (SELECT q, name, max(len(list_intersect(e,q))/CAST(len(e)+len(q)-len(list_intersect(e,q)) AS DOUBLE)) AS s FROM e GROUP BY ALL)
+      SELECT id, name, round(s,6) AS similarity FROM s JOIN q ON q.t=s.q WHERE s>=0.5""",
     "search_facets": WITH + "SELECT 'utility' AS facet, utility AS value, count(*) AS n FROM projects WHERE voltage_kv>=115 GROUP BY utility UNION ALL SELECT 'state', upper(state), count(*) FROM projects WHERE voltage_kv>=115 GROUP BY upper(state) UNION ALL SELECT 'type', type, count(*) FROM projects WHERE voltage_kv>=115 GROUP BY type",
     "search_summary": WITH + r"SELECT count(*) AS total, min(coalesce(start_date,end_date)) AS first_date, max(coalesce(end_date,start_date)) AS last_date, round(min(lat),6) AS min_lat, round(max(lat),6) AS max_lat, round(min(lng),6) AS min_lng, round(max(lng),6) AS max_lng FROM projects WHERE state='GA' OR (state IS NULL AND regexp_matches(location_ref, '(^|[,(/]\s*)(GA)(\s*[)/,]|\s*$)'))",
     "search_page": WITH + "SELECT id, utility, name FROM projects WHERE type='substation' ORDER BY utility, name NULLS LAST, id LIMIT 50",
     "utility_counts": WITH + "SELECT utility, count(*) AS n, count(DISTINCT lower(trim(source_key))) AS n_sources FROM projects GROUP BY utility",
     "current_projects": WITH + f", {WINDOWS_SQL} SELECT id, utility, build_end FROM windowed WHERE build_end IS NULL OR build_end >= DATE '{AS_OF}'",
     "review_queue": WITH + "SELECT id, confidence, requires_review FROM projects WHERE NOT reviewed AND (confidence<=0.7 OR requires_review)",
-    "nearest_place": WITH + ", s AS (SELECT 'p'||s_suppkey AS name, 25+(s_suppkey*7919%1009)/CAST(1009 AS DOUBLE)*20 AS lat, -120+(s_suppkey*104729%2003)/CAST(2003 AS DOUBLE)*45 AS lng FROM supplier), d AS (SELECT projects.id, place, " + _LEN.format(a="s", b="projects") + " AS m FROM projects JOIN (SELECT name AS place, lat, lng FROM s) s ON abs(floor(projects.lat)-floor(s.lat))<=1 AND abs(floor(projects.lng)-floor(s.lng))<=1), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, place) AS r FROM d) SELECT id, place, round(m,3) AS metres FROM r WHERE r=1",
+    "nearest_place": WITH + ", s AS (SELECT 'p'||s_suppkey AS name, 25+(s_suppkey*7919%1009)/CAST(1009 AS DOUBLE)*20 AS lat, -120+(s_suppkey*104729%2003)/CAST(2003 AS DOUBLE)*45 AS lng FROM supplier), d AS (SELECT projects.id, place, " + _LEN.format(a="s", b="projects") + " AS m FROM projects, (SELECT name AS place, lat, lng FROM s) s WHERE projects.lat IS NOT NULL) SELECT id, arg_min(place, struct_pack(m, place)) AS place, round(min(m),3) AS metres FROM d GROUP BY id",
     "line_roster": f"WITH {LINES_SQL} SELECT owner_norm, count(*) AS n_lines, round(sum(km),1) AS km, min(kv) AS min_kv, max(kv) AS max_kv, array_to_string(list_sort(list(DISTINCT owner)),'|') AS names FROM lines GROUP BY owner_norm",
     "lines_by_voltage_class": f"WITH {LINES_SQL} SELECT CASE WHEN kv>=550 THEN 550 WHEN kv>=310 THEN 310 WHEN kv>=220 THEN 220 WHEN kv>=132 THEN 132 WHEN kv>=52 THEN 52 WHEN kv>=25 THEN 25 WHEN kv>=10 THEN 10 END AS voltage_class, count(*) AS n_lines, round(sum(km),1) AS km FROM lines GROUP BY 1",
     "line_bounds": f"WITH {LINES_SQL} SELECT round(min(least(v0.lat,v1.lat,v2.lat)),6) AS min_lat, round(min(least(v0.lng,v1.lng,v2.lng)),6) AS min_lng, round(max(greatest(v0.lat,v1.lat,v2.lat)),6) AS max_lat, round(max(greatest(v0.lng,v1.lng,v2.lng)),6) AS max_lng FROM lines WHERE kv>=230",
@@ -267,5 +292,5 @@ SQL = {
 
 QUERIES = {
     f.__name__: f
-    for f in (project_search, near_search, fuzzy_search, search_facets, search_summary, search_page, utility_counts, current_projects, review_queue, nearest_place, line_roster, lines_by_voltage_class, line_bounds, generator_plants, stitch_rows, page_runs, page_selection, chunk_pages, split_columns, replace_source, sync_sources, apply_patches, patch_changes, upsert_briefs, admit_plans, plan_status, audit_report, load_stats, snapshot_diff, ordered_states)
+    for f in (project_search, near_search, fuzzy_search, fuzzy_matches, search_facets, search_summary, search_page, utility_counts, current_projects, review_queue, nearest_place, line_roster, lines_by_voltage_class, line_bounds, generator_plants, stitch_rows, page_runs, page_selection, chunk_pages, split_columns, replace_source, sync_sources, apply_patches, patch_changes, upsert_briefs, admit_plans, plan_status, audit_report, load_stats, snapshot_diff, ordered_states)
 }
