@@ -27,6 +27,15 @@ def plan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc", F.size("cells").alias("n"), *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(4)])
 
 
+def long_plan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All projects of a company as one plan with quoted cells, and its rows."""
+    own = projects(spark, sf_dir)
+    row = F.concat("name", F.lit(';"'), F.col("id").cast("string"), F.lit(';\n""'), F.coalesce("type", F.lit("")), F.lit('""";'), F.coalesce(F.col("voltage_kv").cast("string"), F.lit("")))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("id", row.alias("r")))), lambda x: x["r"])
+    plans = own.groupBy(F.col("utility").alias("doc")).agg(F.concat(F.lit("Project;Note;kV\r\n"), F.array_join(rows, "\r\n")).alias("text"))
+    return tables.split_plan(plans).select("doc", "row", F.size("cells").alias("n"), *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(3)])
+
+
 def rendered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.render_rows(tables.split_plan(plan_texts(spark, sf_dir)))
 
@@ -61,6 +70,8 @@ def generators_by_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROW = "SELECT id, name, coalesce(type,'') AS type, coalesce(voltage_kv::VARCHAR,'') AS kv, 'a, b; c| '||id||' \"x\"  end' AS note FROM projects"
 SQL = {
     "plan_rows": WITH + f"SELECT id AS doc, 4 AS n, name AS c0, type AS c1, kv AS c2, note AS c3 FROM ({_ROW})",
+    "long_plan_rows": WITH + """SELECT utility AS doc, row_number() OVER (PARTITION BY utility ORDER BY id)::INT AS row, 3 AS n, name AS c0, id||'; "'||coalesce(type,'')||'"' AS c1, coalesce(voltage_kv::VARCHAR,'') AS c2 FROM projects
+      UNION ALL SELECT DISTINCT utility, 0, 3, 'Project', 'Note', 'kV' FROM projects""",
     "rendered_rows": WITH + f"SELECT id AS doc, 0 AS row, 'Columns: Project, Category, col3, Note' AS line FROM projects UNION ALL SELECT id, 1, 'Row 1: Project='||name||CASE WHEN type<>'' THEN '; Category='||type ELSE '' END||CASE WHEN kv<>'' THEN '; col3='||kv ELSE '' END||'; Note='||note FROM ({_ROW})",
     "file_kinds": WITH + """, f AS (SELECT id, CASE id%9 WHEN 0 THEN '%PDF-1.7 ' WHEN 1 THEN 'PK'||chr(3)||chr(4)||' xl/workbook.xml ' WHEN 2 THEN 'PK'||chr(3)||chr(4)||' other ' WHEN 3 THEN '<!DOCTYPE html><p>' WHEN 4 THEN '<?xml version=''1.0''?>' WHEN 5 THEN 'name,' WHEN 6 THEN 'plain ' WHEN 7 THEN chr(1)||chr(2) ELSE '{"name": "' END||name||CASE WHEN id%9=8 THEN '"}' ELSE '' END AS t FROM projects)
       SELECT '/plans/'||id||CASE WHEN id%9=5 THEN '.CSV' ELSE '.txt' END AS path, list_extract(['pdf','xlsx','zip','html','xml','csv','text','binary','json'], CAST(id%9+1 AS INT)) AS format, octet_length(encode(t)) AS length, sha256(t) AS sha FROM f""",
@@ -68,4 +79,4 @@ SQL = {
     "generators_by_utility": f"WITH {COMPANIES_SQL}, g AS (SELECT DISTINCT l_orderkey AS plant, list_extract({NAMES!r}, CAST(l_orderkey%24+1 AS INT)) AS utility FROM lineitem) SELECT company AS owner, count(*)::INT AS n, sha256(string_agg(plant::VARCHAR, ',' ORDER BY plant)) AS plants FROM g JOIN companies USING (utility) GROUP BY company",
 }
 
-QUERIES = {f.__name__: f for f in (plan_rows, rendered_rows, file_kinds, plan_ledger, generators_by_utility)}
+QUERIES = {f.__name__: f for f in (plan_rows, long_plan_rows, rendered_rows, file_kinds, plan_ledger, generators_by_utility)}

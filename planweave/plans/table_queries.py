@@ -146,9 +146,21 @@ def page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of a customer group as the pages of a document."""
-    own = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("doc"), F.col("o_orderkey").alias("page"), F.repeat(F.lit("x"), (100 + F.col("o_orderkey") * 37 % 900).cast("int")).alias("text"))
-    return pages.chunk_pages(own, 4000)
+    """Orders of a customer group as the pages of a document; each 37th holds fifty lines and is split."""
+    k = F.col("o_orderkey")
+    line = F.repeat(F.lit("x"), (100 + k % 50).cast("int"))
+    text = F.when(k % 37 == 0, F.array_join(F.array_repeat(line, 50), "\n")).otherwise(F.repeat(F.lit("x"), (100 + k * 37 % 900).cast("int")))
+    own = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("doc"), k.alias("page"), text.alias("text"))
+    return pages.chunk_pages(own, 4000).select("doc", "chunk", "first_page", "last_page", "n_chars", F.md5("body").alias("body_md5"))
+
+
+def page_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selections of pages, one a customer, read and put in order; some are wrong."""
+    c = F.col("c_custkey")
+    forms = ["5-9, 2, 3", "1 - 4,4-6 , 9", "7", "", "x", "3-1", "8-{}", "2,2"]
+    spec = F.replace(pick(forms, c % len(forms)), F.lit("{}"), (c % 20 + 5).cast("string"))
+    own = table(spark, sf_dir, "customer")
+    return pages.page_specs(own.select(c.alias("doc"), spec.alias("spec")), own.select(c.alias("doc"), F.lit(12).alias("n"))).select("doc", "normal", "error")
 
 
 def split_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,9 +285,14 @@ SQL = {
     "stitch_rows": "SELECT o_custkey%50 AS doc, '#'||o_orderkey||' '||o_orderstatus||CASE WHEN o_orderkey%3=0 THEN ' '||trim(o_orderpriority) ELSE '' END AS text FROM orders",
     "page_runs": WITH + ", d AS (SELECT DISTINCT utility AS doc, source_page AS page FROM projects WHERE source_page%7<4), g AS (SELECT doc, page, page-row_number() OVER (PARTITION BY doc ORDER BY page) AS g FROM d), r AS (SELECT doc, min(page) AS a, max(page) AS b FROM g GROUP BY doc, g) SELECT doc, string_agg(CASE WHEN a=b THEN a::VARCHAR ELSE a||'-'||b END, ',' ORDER BY a) AS pages FROM r GROUP BY doc",
     "page_selection": "SELECT o_custkey%50 AS doc, o_orderkey%20 AS page, count(*) AS n, sum(((o_orderkey%20 BETWEEN o_custkey%50%9 AND o_custkey%50%9+4) OR o_orderkey%20=17)::INT)::BIGINT AS n_kept FROM orders GROUP BY 1,2",
-    "chunk_pages": """WITH RECURSIVE p AS (SELECT o_custkey%100 AS doc, o_orderkey AS page, 100+o_orderkey*37%900 AS n, row_number() OVER (PARTITION BY o_custkey%100 ORDER BY o_orderkey) AS i FROM orders),
+    "chunk_pages": """WITH RECURSIVE o AS (SELECT o_custkey%100 AS doc, o_orderkey AS page, o_orderkey%37=0 AS big, CASE WHEN o_orderkey%37=0 THEN 100+o_orderkey%50 ELSE 100+o_orderkey*37%900 END AS w FROM orders),
+      m AS (SELECT *, CASE WHEN big THEN (4000-w)//(w+1)+1 ELSE 1 END AS m, CASE WHEN big THEN 50 ELSE 1 END AS lines FROM o),
+      g AS (SELECT doc, page, s, w, least(m, lines-s*m) AS k FROM m, unnest(range(0, CASE WHEN big THEN 50 ELSE 1 END)) u(s) WHERE s*m<lines),
+      p AS (SELECT doc, page, k*(w+1)-1 AS n, array_to_string(list_transform(range(0, k), lambda x: repeat('x', w::INT)), chr(10)) AS t, row_number() OVER (PARTITION BY doc ORDER BY page, s) AS i FROM g),
       r AS (SELECT doc, i, page, n AS total, 0 AS chunk FROM p WHERE i=1 UNION ALL SELECT p.doc, p.i, p.page, CASE WHEN total+n<=4000 THEN total+n ELSE n END, CASE WHEN total+n<=4000 THEN chunk ELSE chunk+1 END FROM r JOIN p ON p.doc=r.doc AND p.i=r.i+1)
-      SELECT doc, chunk, min(page) AS first_page, max(page) AS last_page, max(total)::BIGINT AS n_chars FROM r GROUP BY doc, chunk""",
+      SELECT r.doc, chunk, min(r.page) AS first_page, max(r.page) AS last_page, max(total)::BIGINT AS n_chars, md5(string_agg('=== PAGE '||r.page||' ==='||chr(10)||t, chr(10)||chr(10) ORDER BY r.i)) AS body_md5 FROM r JOIN p ON p.doc=r.doc AND p.i=r.i GROUP BY r.doc, chunk""",
+    "page_specs": """SELECT c_custkey AS doc, CASE c_custkey%8 WHEN 0 THEN '2-3,5-9' WHEN 1 THEN '1-6,9' WHEN 2 THEN '7' WHEN 3 THEN '1-12' WHEN 6 THEN CASE WHEN c_custkey%20+5 BETWEEN 9 AND 12 THEN '8-'||(c_custkey%20+5) WHEN c_custkey%20+5=8 THEN '8' END WHEN 7 THEN '2' END AS normal,
+      CASE c_custkey%8 WHEN 4 THEN 'no page selection' WHEN 5 THEN 'outside of the document' WHEN 6 THEN CASE WHEN c_custkey%20+5 NOT BETWEEN 8 AND 12 THEN 'outside of the document' END END AS error FROM customer""",
     "split_columns": WITH + ", w AS (SELECT id AS row, string_split(name,' ') AS w, id%3 AS c FROM projects) SELECT row, array_to_string(w[1:c+1],' ') AS left_text, array_to_string(w[c+2:],' ') AS right_text FROM w",
     "replace_source": WITH + "SELECT id, source_key, utility FROM projects WHERE source_key NOT IN ('src1','src2') UNION ALL SELECT id+1000000, source_key, upper(utility) FROM projects WHERE source_key='src1'",
     "sync_sources": WITH + "SELECT source_key, sha256(count(*)||','||sum(id)) AS sha FROM projects GROUP BY source_key HAVING source_key IN ('src0','src3','src5')",
@@ -292,5 +309,5 @@ SQL = {
 
 QUERIES = {
     f.__name__: f
-    for f in (project_search, near_search, fuzzy_search, fuzzy_matches, search_facets, search_summary, search_page, utility_counts, current_projects, review_queue, nearest_place, line_roster, lines_by_voltage_class, line_bounds, generator_plants, stitch_rows, page_runs, page_selection, chunk_pages, split_columns, replace_source, sync_sources, apply_patches, patch_changes, upsert_briefs, admit_plans, plan_status, audit_report, load_stats, snapshot_diff, ordered_states)
+    for f in (project_search, near_search, fuzzy_search, fuzzy_matches, search_facets, search_summary, search_page, utility_counts, current_projects, review_queue, nearest_place, line_roster, lines_by_voltage_class, line_bounds, generator_plants, stitch_rows, page_runs, page_selection, page_specs, chunk_pages, split_columns, replace_source, sync_sources, apply_patches, patch_changes, upsert_briefs, admit_plans, plan_status, audit_report, load_stats, snapshot_diff, ordered_states)
 }

@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def stitch_wrapped_rows(lines: DataFrame, start: str) -> DataFrame:
-    """Lines (doc, page, line, text) joined to records: one begins where the text matches ``start``; others go on."""
-    order = Window.partitionBy("doc").orderBy("page", "line")
-    island = lines.withColumn("record", F.sum(F.col("text").rlike(start).cast("int")).over(order)).where("record > 0")
+def stitch_wrapped_rows(lines: DataFrame, start: str, skip: str | None = None) -> DataFrame:
+    """Lines (doc, page, line, text) joined to records: one begins where the text matches ``start``; others go on, also over pages.
+
+    Lines that match ``skip``, and not ``start``, belong to none. Records are numbered by counts: of starts within a page,
+    and of the pages before; so a document's lines are never in one task, only its pages' counts. A dash that a line ends
+    with gets its blank back.
+    """
+    begins = F.coalesce(F.col("text").rlike(start), F.lit(False))
+    own = lines.withColumn("begins", begins.cast("int"))
+    if skip is not None:
+        own = own.where((F.col("begins") == 1) | ~F.coalesce(F.col("text").rlike(skip), F.lit(True)))
+    before = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy("doc", "page").agg(F.sum("begins").alias("n")).select("doc", "page", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = own.join(counts, ["doc", "page"])
+    island = own.withColumn("record", F.col("before") + F.sum("begins").over(Window.partitionBy("doc", "page").orderBy("line"))).where("record > 0")
     parts = F.sort_array(F.collect_list(F.struct("page", "line", "text")))
-    return island.groupBy("doc", "record").agg(F.array_join(F.transform(parts, lambda p: F.trim(p["text"])), " ").alias("text"))
+    text = F.array_join(F.transform(parts, lambda p: F.trim(p["text"])), " ")
+    return island.groupBy("doc", "record").agg(F.regexp_replace(text, r"(\w)- (\w)", "$1 - $2").alias("text"))
 
 
 def page_runs(pages: DataFrame) -> DataFrame:
@@ -22,31 +36,112 @@ def page_runs(pages: DataFrame) -> DataFrame:
     return runs.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", text.alias("t")))), lambda x: x["t"]), ",").alias("pages"))
 
 
+#: A part of a page selection: a page, or its first and last.
+PART = r"^\s*(\d{1,9})\s*(?:-\s*(\d{1,9})\s*)?$"
+
+
+def page_specs(specs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Selections (doc, spec) such as ``18-45, 50`` against the documents' page counts (doc, n, perhaps first): doc, ranges, normal, error.
+
+    ``normal`` names the pages in order, each once. A selection with a part that is no page or range, runs backwards, or lies
+    outside of the document has an error and no ranges; a blank one selects every page.
+    """
+    part = lambda p, i: F.nullif(F.regexp_extract(p, PART, i), F.lit("")).cast("long")
+    parts = F.transform(F.split("spec", ","), lambda p: F.struct(part(p, 1).alias("a"), F.coalesce(part(p, 2), part(p, 1)).alias("b")))
+    own = specs.join(counts, "doc").withColumn("parts", F.when(F.trim("spec") == "", F.array(F.struct(F.lit(1).cast("long").alias("a"), F.col("n").cast("long").alias("b")))).otherwise(parts))
+    wrong = F.exists("parts", lambda p: p["a"].isNull())
+    first = F.col("first") if "first" in counts.columns else F.lit(1)
+    outside = F.exists("parts", lambda p: (p["a"] < first) | (p["a"] > p["b"]) | (p["b"] > F.col("n")))
+    error = F.when(F.col("spec").isNull() | wrong, "no page selection").when(outside, "outside of the document")
+    none = F.array().cast("array<struct<a: bigint, b: bigint>>")
+
+    def add(kept: Column, p: Column) -> Column:
+        last = F.element_at(kept, -1)
+        meets = (F.size(kept) > 0) & (p["a"] <= last["b"] + 1)
+        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], p["b"]).alias("b"))
+        return F.when(meets, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(longer))).otherwise(F.concat(kept, F.array(p)))
+
+    own = own.withColumn("error", error).withColumn("ranges", F.when(F.col("error").isNull(), F.aggregate(F.array_sort("parts"), none, add)))
+    text = lambda r: F.when(r["a"] == r["b"], r["a"].cast("string")).otherwise(F.concat_ws("-", r["a"], r["b"]))
+    return own.select("doc", "ranges", F.array_join(F.transform("ranges", text), ",").alias("normal"), "error")
+
+
 def select_pages(pages: DataFrame, specs: DataFrame) -> DataFrame:
-    """Pages (doc, page, text) named by a selection (doc, spec) such as ``18-45, 50``; the others are blank."""
-    part = F.explode(F.split("spec", r"\s*,\s*")).alias("part")
-    ranges = specs.select("doc", part).select("doc", F.split("part", r"\s*-\s*").alias("r"))
-    kept = ranges.select("doc", F.explode(F.sequence(F.element_at("r", 1).cast("long"), F.element_at("r", -1).cast("long"))).alias("page")).distinct().withColumn("kept", F.lit(True))
-    return pages.join(kept, ["doc", "page"], "left").select("doc", "page", F.when(F.col("kept"), F.col("text")).otherwise("").alias("text"))
+    """Pages (doc, page, text) named by a selection (doc, spec); the others are blank. Raises an error if a selection is wrong."""
+    counts = pages.groupBy("doc").agg(F.max("page").alias("n"), F.least(F.lit(1), F.min("page")).alias("first"))
+    checked = page_specs(specs, counts)
+    checked = checked.withColumn("ranges", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", F.col("doc").cast("string"), "error"))).otherwise(F.col("ranges")))
+    kept = F.coalesce(F.exists("ranges", lambda r: F.col("page").between(r["a"], r["b"])), F.lit(False))
+    return pages.join(checked.select("doc", "ranges"), "doc", "left").select("doc", "page", F.when(kept, F.col("text")).otherwise("").alias("text"))
+
+
+#: Chunks of a batch that a task hands on.
+CHUNKS = 64
+
+
+def segments(text: str, limit: int) -> Iterator[str]:
+    """A page as it is if it fits, else its lines packed in order; a line that is too long is a segment of its own."""
+    if len(text) <= limit:
+        yield text
+        return
+    part, size = [], 0
+    for line in text.splitlines():
+        if part and size + len(line) > limit:
+            yield "\n".join(part)
+            part, size = [], 0
+        part.append(line)
+        size += len(line) + 1
+    if part:
+        yield "\n".join(part)
 
 
 def chunk_pages(pages: DataFrame, limit: int) -> DataFrame:
-    """Pages (doc, page, text) packed in order into chunks of at most ``limit`` characters: first and last page, size.
+    """Pages (doc, page, text) packed in order into chunks of at most ``limit`` characters: doc, chunk, first_page, last_page, n_chars, body.
 
-    The running state is an aggregate over one document's page sizes; documents are independent.
+    Pages of a document are read in order by one task, since each chunk begins where the one before ends; a task holds
+    one chunk at a time, so that a document may have any number of pages. Blank and null pages are passed over.
     """
-    sized = F.sort_array(F.collect_list(F.struct("page", F.length("text").alias("n"))))
-    kind = "array<struct<a: bigint, b: bigint, n: bigint>>"
-
-    def add(chunks, p):
-        last = F.element_at(chunks, -1)
-        joined = F.struct(last["a"].alias("a"), p["page"].cast("long").alias("b"), (last["n"] + p["n"]).alias("n"))
-        own = F.struct(p["page"].cast("long").alias("a"), p["page"].cast("long").alias("b"), p["n"].cast("long").alias("n"))
-        fits = (F.size(chunks) > 0) & (last["n"] + p["n"] <= limit)
-        return F.when(fits, F.concat(F.slice(chunks, 1, F.size(chunks) - 1), F.array(joined))).otherwise(F.concat(chunks, F.array(own))).cast(kind)
-
-    chunks = pages.groupBy("doc").agg(sized.alias("p")).select("doc", F.posexplode(F.aggregate("p", F.array().cast(kind), add)).alias("chunk", "c"))
-    return chunks.select("doc", "chunk", F.col("c.a").alias("first_page"), F.col("c.b").alias("last_page"), F.col("c.n").alias("n_chars"))
+    kinds = dict(pages.dtypes)
+    schema = f"doc {kinds['doc']}, chunk int, first_page {kinds['page']}, last_page {kinds['page']}, n_chars long, body string"
+
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = ["doc", "chunk", "first_page", "last_page", "n_chars", "body"]
+        done, doc, chunk, held, size, kind = [], None, 0, [], 0, None
+
+        def close() -> None:
+            body = "\n\n".join(f"=== PAGE {p} ===\n{t}" for p, t in held)
+            done.append((doc, chunk, held[0][0], held[-1][0], size, body))
+
+        def batch() -> pa.RecordBatch:
+            types = [kind.field("doc").type, pa.int32(), kind.field("page").type, kind.field("page").type, pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names)
+
+        for b in batches:
+            kind = b.schema
+            for d, page, text in zip(*(b.column(c).to_pylist() for c in ("doc", "page", "text"))):
+                if held and d != doc:
+                    close()
+                    held, size = [], 0
+                if d != doc:
+                    doc, chunk = d, 0
+                for segment in segments(text, limit):
+                    if held and size + len(segment) > limit:
+                        close()
+                        held, size, chunk = [], 0, chunk + 1
+                    held.append((page, segment))
+                    size += len(segment)
+                if len(done) >= CHUNKS:
+                    yield batch()
+                    done.clear()
+        if held:
+            close()
+        if done:
+            yield batch()
+
+    own = pages.where("text <> ''").select("doc", "page", "text").repartition("doc").sortWithinPartitions("doc", "page")
+    return own.mapInArrow(pack, schema)
 
 
 def split_columns(words: DataFrame) -> DataFrame:
