@@ -29,7 +29,7 @@ from .common import carried, materialize, number_rows
 #: Weights of the sources in their order, repeated; share of all words to mix; most times a document is taken.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 #: Rows of a block, on average. Units that a source keeps for its landing.
-BLOCK, LANDING = 20_000, 12
+BLOCK, LANDING = 2_500, 12
 #: Units of more than so many times their block's mean size are decided first, against all others.
 LARGE = LANDING / 2
 #: A probability so near to 0 or 1 has arrived there.
