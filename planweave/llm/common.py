@@ -75,7 +75,7 @@ TEXT = ("t1", "t2")
 
 def text_key(text: str = "text_") -> list[Column]:
     """128 bits of hashes by which a text is found again in the documents, whatever the order they are read in."""
-    return [F.xxhash64(F.col(text)).alias("t1"), F.xxhash64(F.col(text), F.lit(1)).alias("t2")]
+    return [F.xxhash64(F.col(text)).alias("t1"), F.xxhash64(F.lit(1), F.col(text)).alias("t2")]
 
 
 def carried(keep: list[str], own: list[str]) -> list[str]:

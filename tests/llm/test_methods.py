@@ -267,3 +267,14 @@ def test_an_archive_that_lost_a_record_fails(spark, monkeypatch):
     with pytest.raises(ValueError):
         warc.archive_and_read(pages).count()
     assert new_path(spark, "x") != new_path(spark, "x")
+
+
+def test_the_second_hash_of_a_text_is_not_made_of_the_first(spark):
+    """A hash that is seeded with the first one's value, as of (text, 1), says nothing of its own."""
+    from pyspark.sql import functions as F
+
+    from planweave.llm.common import text_key
+
+    rows = spark.range(200).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text_")).select("text_", *text_key())
+    assert rows.where(F.col("t2") == F.expr("xxhash64(1, text_)")).count() == 200
+    assert rows.where(F.col("t2") == F.expr("xxhash64(text_, 1)")).count() == 0
