@@ -101,10 +101,12 @@ def with_windows(projects: DataFrame) -> DataFrame:
     return projects.withColumns({"build_start": first, "build_end": last})
 
 
-def with_owners(projects: DataFrame) -> DataFrame:
-    """Canonical name and ownership, worked out once per distinct name and joined back."""
+def with_owners(projects: DataFrame, registry: DataFrame | None = None, as_of: str | None = None) -> DataFrame:
+    """Canonical name and ownership, worked out once per distinct name and joined back; ``registry``: audited owners, see ``owners.audited``."""
     names = projects.select("utility").distinct().withColumn("company", owners.canonical_utility(F.col("utility")))
-    names = names.withColumns(owners.ownership(F.col("company")))
+    names = names.join(owners.ownership(names.where("company IS NOT NULL"), registry, as_of), "company", "left")
+    none = F.array().cast("array<string>")
+    names = names.withColumns({"entities": F.coalesce("entities", none), "stem": F.coalesce("stem", none), "needs_review": F.coalesce("needs_review", F.lit(True)), "withheld": F.coalesce("withheld", F.lit(False))})
     return projects.join(names, "utility", "left")
 
 
@@ -117,12 +119,12 @@ def ahead_of(projects: DataFrame, as_of: str, evidence: DataFrame | None = None)
     return ahead if evidence is None else ahead.join(evidence.where(F.col("operating_from") <= F.lit(as_of).cast("date")), "id", "left_anti")
 
 
-def overlaps(projects: DataFrame, as_of: str, min_days: int = 30, radius_m: float = RADIUS_M, evidence: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
+def overlaps(projects: DataFrame, as_of: str, min_days: int = 30, radius_m: float = RADIUS_M, evidence: DataFrame | None = None, changed: DataFrame | None = None, registry: DataFrame | None = None) -> DataFrame:
     """The qualifying pairs with scores, bands and value ranges; whatever one side decides is decided before the join.
 
     With ``changed`` (id) only pairs with a side among these are found: one join of these with all.
     """
-    ahead = ahead_of(with_owners(with_windows(projects)), as_of, evidence)
+    ahead = ahead_of(with_owners(with_windows(projects), registry, as_of), as_of, evidence)
     kept = ["id", "utility", "company", "state", "name", "location_ref", "type", "voltage_kv", "cost_usd", "end_date", "routed", *SHAPE, "build_start", "build_end", "entities", "needs_review", "withheld", "stem"]
     shared = F.datediff(F.least("a_build_end", "b_build_end"), F.greatest(F.col("a_build_start"), F.col("b_build_start"), F.lit(as_of).cast("date"))) + 1
     every = ahead.select(kept)

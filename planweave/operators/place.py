@@ -12,23 +12,48 @@ from pyspark.sql import functions as F
 DUPLICATE_KM, CLUSTER_MILES, SPAN_MILES, ZIP_SHIFT_MILES = 3.0, 15.0, 75.0, 50.0
 EARTH_KM = 6371.0
 MILE_KM = 1.609344
-#: Abbreviations in place names, words for equipment, words that name no place.
-ABBREVIATIONS = {"e": "east", "ft": "fort", "hwy": "highway", "mt": "mount", "mtn": "mountain", "n": "north", "rd": "road", "s": "south", "st": "saint", "w": "west"}
-EQUIPMENT = (
-    "cc center ct dam dist distribution electric energy facility generating hydro jct junction kv plant power primary ss sta station stations steam sub subs "
-    "substation substations sw switch switching switchyard tap tie transmission ts yard"
-).split()
-NO_PLACE = "autotransformer autotransformers customer delivery in loop main retail transformer transformers".split()
+#: Words that describe the equipment, not the place.
+EQUIPMENT = [
+    "substation", "substations", "sub", "subs", "switching", "switch", "station", "stations", "switchyard", "yard", "tie", "primary",
+    "distribution", "transmission", "ts", "ss", "dist", "plant", "steam", "generating", "power", "energy", "center",
+    "electric", "facility", "hydro", "dam", "cc", "ct", "sw", "sta", "kv", "tap", "junction", "jct",
+]
+#: Abbreviations in place names.
+ABBREVIATIONS = {"mt": "mount", "mtn": "mountain", "ft": "fort", "st": "saint", "hwy": "highway", "rd": "road", "n": "north", "s": "south", "e": "east", "w": "west"}
+#: Words that name no place.
+NO_PLACE = ["main", "retail", "autotransformer", "autotransformers", "transformer", "transformers", "customer", "delivery", "loop", "in"]
+
+
+def literal_words(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+
+def name_tokens(name: Column) -> Column:
+    """What a name is made of, in lower case: words, numbers, and the marks ( ) / # that say what a number or a word is."""
+    text = F.replace(F.translate(F.lower(name), "'’", ""), F.lit("&"), F.lit(" and "))
+    return F.regexp_extract_all(text, F.lit(r"(\d+\.\d+(?:kv\b)?|[a-z\d]+|[()/#])"), F.lit(1))
 
 
 def name_key(name: Column) -> Column:
-    """What is left of a name without voltages, numbers, remarks in parentheses and words for equipment, in lower case."""
-    text = F.regexp_replace(F.replace(F.lower(name), F.lit("&"), F.lit(" and ")), "['’]", "")
-    for gone in (r"\(.*?\)", r"\d+(\.\d+)?(\s*/\s*\d+(\.\d+)?)*\s*kv\b", r"#\s*\d+|\bno\.?\s*\d+\b", r"[^a-z0-9 ]"):
-        text = F.regexp_replace(text, gone, " ")
-    long = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    words = F.transform(F.filter(F.split(text, " +"), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(long, w), w))
-    return F.array_join(F.filter(words, lambda w: ~w.isin(EQUIPMENT)), " ")
+    """What is left of a name without remarks in parentheses, voltages, numbers and words for equipment, in lower case.
+
+    Each token stays or goes by what stands around it: a number goes if a ``#`` or ``no`` numbers with it, or if a run of
+    numbers parted by strokes that it belongs to ends in ``kv``.
+    """
+    tokens = name_tokens(name)
+
+    def key(t: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(t, i), F.lit(""))
+        number = lambda i: at(i).rlike(r"^\d+(\.\d+)?(kv)?$")
+        closed = lambda i: F.exists(F.slice(t, i + 2, F.size(t)), lambda x: x == ")")
+        depth = lambda i: F.size(F.filter(F.slice(t, F.lit(1), i + 1), lambda x: x == "(")) - F.size(F.filter(F.slice(t, F.lit(1), i), lambda x: x == ")"))
+        rest = lambda i: F.regexp_extract(F.array_join(F.slice(t, i + 1, F.size(t)), " "), r"^(?:\d+(?:\.\d+)? / )*\d+(?:\.\d+)? ?(kv)\b", 1)
+        named = lambda i: (at(i - 1) == "#") | (at(i - 1) == "no")
+        gone = lambda w, i: w.isin("(", ")", "/", "#") | ((depth(i) > 0) & closed(i)) | (number(i) & (named(i) | (rest(i) == "kv"))) | ((w == "no") & number(i + 1)) | w.rlike(r"^no\d+$")
+        kept = F.filter(F.transform(t, lambda w, i: F.when(~gone(w, i), F.coalesce(F.try_element_at(literal_words(ABBREVIATIONS), w), w))), lambda w: w.isNotNull())
+        return F.array_join(F.filter(kept, lambda w: ~w.isin(EQUIPMENT)), " ")
+
+    return F.element_at(F.transform(F.array(tokens), key), 1)
 
 
 def place_name(name: Column) -> Column:

@@ -55,6 +55,20 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What an audit of the companies of ``NAMES`` found, by their place: corporate group, or review.
+AUDIT = {14: "JEA", 15: "TVA", 17: "NextEra Energy", 23: "Seminole Electric Cooperative"}
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audited owners out of the nations: a row for each company that the audit settled, and former rows that hold no more."""
+    k = F.col("n_nationkey")
+    group = F.coalesce(*[F.when(k == i, F.lit(g)) for i, g in AUDIT.items()])
+    own = table(spark, sf_dir, "nation").where(k < len(NAMES)).select(k.alias("k"), pick(NAMES, k).alias("utility"), group.alias("corporate_group"))
+    now = own.where("corporate_group IS NOT NULL").select("utility", "corporate_group", F.lit("verified").alias("status"), F.lit("2020-01-01").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    former = own.select("utility", F.lit("Former Holdings").alias("corporate_group"), F.when(F.col("k") % 2 == 0, "verified").otherwise("review").alias("status"), F.lit("2001-01-01").cast("date").alias("valid_from"), F.lit("2010-01-01").cast("date").alias("valid_to"))
+    return now.unionByName(former)
+
+
 def _list(values: list) -> str:
     return "[" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in values) + "]"
 

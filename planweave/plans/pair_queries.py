@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import corridor, dates, geo, owners
 from ..operators import pairs
-from .fixtures import AS_OF, NAMES, PROJECTS_SQL, projects
+from .fixtures import AS_OF, NAMES, PROJECTS_SQL, projects, registry
 
 
 def coordination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.overlaps(projects(spark, sf_dir), AS_OF)
+    return pairs.overlaps(projects(spark, sf_dir), AS_OF, registry=registry(spark, sf_dir))
 
 
 def coordination_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +80,21 @@ def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def company_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which companies with projects in one state may be matched: over distinct names of each state only."""
     own = projects(spark, sf_dir).where("state IS NOT NULL").select("state", "utility").distinct()
-    names = own.select("utility").distinct().withColumn("company", owners.canonical_utility(F.col("utility")))
-    full = own.join(names.withColumns(owners.ownership(F.col("company"))), "utility")
+    full = pairs.with_owners(own, registry(spark, sf_dir), AS_OF)
     a, b = pairs.prefixed(full, "a"), pairs.prefixed(full, "b")
     both = a.join(b, (F.col("a_state") == F.col("b_state")) & (F.col("a_utility") < F.col("b_utility")))
     return both.select(F.col("a_state").alias("state"), "a_utility", "b_utility", owners.different_companies("a", "b").alias("eligible"))
 
 
+def ownership_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each company name of the projects says of its owners, today and while former audits held, and whom it plans with."""
+    names = projects(spark, sf_dir).groupBy("utility").agg(F.count("*").alias("n"))
+    now, then = (pairs.with_owners(names, registry(spark, sf_dir), day) for day in (AS_OF, "2005-06-01"))
+    flags = lambda d, p: d.select("utility", F.array_join("entities", ",").alias(f"{p}_entities"), F.col("needs_review").alias(f"{p}_review"), F.col("withheld").alias(f"{p}_withheld"))
+    own = flags(now, "now").join(flags(then, "then"), "utility").join(names, "utility")
+    return own.withColumn("plans_with", owners.planning_entity(owners.canonical_utility(F.col("utility"))))
+
+
 def partial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order dates printed in eleven spellings, and read back."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("d"))
@@ -199,6 +207,14 @@ SQL = {
     "company_names": f"WITH {PROJECTS_SQL}, {COMPANIES_SQL} SELECT utility, company, count(*) AS n FROM projects JOIN companies USING (utility) GROUP BY ALL",
     "company_eligibility": f"""WITH {PROJECTS_SQL}, {COMPANIES_SQL}, u AS (SELECT DISTINCT state, companies.* FROM companies JOIN projects USING (utility) WHERE state IS NOT NULL)
       SELECT a.state, a.utility AS a_utility, b.utility AS b_utility, a.company IS NOT NULL AND b.company IS NOT NULL AND NOT list_has_any(string_split(coalesce(a.entities,'-a'),','),string_split(coalesce(b.entities,'-b'),',')) AND (NOT (a.needs_review OR b.needs_review) OR coalesce(a.family<>b.family,false)) AS eligible FROM u a JOIN u b ON a.state=b.state AND a.utility<b.utility""",
+    "ownership_flags": f"""WITH {PROJECTS_SQL}, {COMPANIES_SQL}, n AS (SELECT utility, count(*) AS n FROM projects GROUP BY 1),
+      r AS (SELECT list_extract({NAMES!r}, CAST(n_nationkey+1 AS INT)) AS utility, n_nationkey%2=0 AS verified FROM nation WHERE n_nationkey<24),
+      f AS (SELECT owner, max(CASE WHEN verified THEN 'former holdings' END) AS g FROM (SELECT unnest(string_split(company,' / ')) AS owner, company, verified FROM r JOIN companies USING (utility) WHERE company IS NOT NULL AND company NOT LIKE '% / %') GROUP BY 1),
+      t AS (SELECT utility, company, unnest(string_split(company,' / ')) AS owner FROM companies),
+      o AS (SELECT t.utility, t.owner, f.owner IS NOT NULL AS audited, f.g, CASE t.owner WHEN 'Duke Energy Florida' THEN 'duke energy' WHEN 'Seminole Electric Cooperative' THEN NULL END AS family FROM t LEFT JOIN f USING (owner)),
+      p AS (SELECT utility, array_to_string(list_sort(list_distinct(list(lower(coalesce(CASE WHEN audited THEN g ELSE family END, owner))))),',') AS e, bool_or(CASE WHEN audited THEN g IS NULL ELSE family IS NULL END) AS review, bool_or(audited AND g IS NULL) AS held FROM o GROUP BY 1)
+      SELECT utility, n, coalesce(entities,'') AS now_entities, needs_review AS now_review, false AS now_withheld, coalesce(p.e,'') AS then_entities, coalesce(p.review,true) AS then_review, coalesce(p.held,false) AS then_withheld,
+        CASE WHEN company IN ('Southern Company','Georgia Power','Alabama Power') THEN 'southern company' ELSE lower(company) END AS plans_with FROM n JOIN companies USING (utility) LEFT JOIN p USING (utility)""",
     "partial_dates": """WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderkey%13 AS f FROM orders)
       SELECT k, (CASE WHEN f IN (0,1,9,10) THEN d WHEN f IN (2,3,8) THEN date_trunc('month',d) WHEN f IN (4,5,6) THEN date_trunc('quarter',d) WHEN f=7 THEN date_trunc('year',d) END)::DATE AS first_day,
         CASE WHEN f IN (0,1,9,10) THEN 'day' WHEN f IN (2,3,8) THEN 'month' WHEN f IN (4,5,6) THEN 'quarter' WHEN f=7 THEN 'year' END AS precision FROM o""",
@@ -206,5 +222,5 @@ SQL = {
 
 QUERIES = {
     f.__name__: f
-    for f in (coordination_pairs, distance_self_join, shared_corridors, pair_impacts, pair_briefs, best_pair_per_project, pairs_between, pair_partners, pairs_in_view, pair_counts_by_state, build_windows, company_names, company_eligibility, partial_dates)
+    for f in (coordination_pairs, distance_self_join, shared_corridors, pair_impacts, pair_briefs, best_pair_per_project, pairs_between, pair_partners, pairs_in_view, pair_counts_by_state, build_windows, company_names, company_eligibility, ownership_flags, partial_dates)
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import maintenance, pairs, search, similar
 from ..sources import pages
-from .fixtures import AS_OF, NAMES, PLACES, PROJECTS_SQL, pick, projects, table
+from .fixtures import AS_OF, NAMES, PLACES, PROJECTS_SQL, pick, projects, registry, table
 from .pair_queries import COMPANIES_SQL, WINDOWS_SQL
 
 WITH = f"WITH {PROJECTS_SQL} "
@@ -218,7 +218,7 @@ def plan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per company: projects, current ones, and whether its ownership awaits review."""
-    own = pairs.with_owners(pairs.with_windows(projects(spark, sf_dir)))
+    own = pairs.with_owners(pairs.with_windows(projects(spark, sf_dir)), registry(spark, sf_dir), AS_OF)
     ahead = F.coalesce(F.col("build_end") >= F.lit(AS_OF).cast("date"), F.lit(True))
     return own.groupBy("company").agg(F.count("*").alias("total"), F.sum(ahead.cast("long")).alias("current"), F.bool_or("needs_review").alias("needs_review"))
 

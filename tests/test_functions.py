@@ -88,4 +88,4 @@ def test_canonical_names_keep_their_parents(spark):
     }
     rows = spark.createDataFrame(list(want.items()), "raw string, name string").select("raw", owners.canonical_utility(F.col("raw")).alias("got"))
     assert {r.raw: r.got for r in rows.collect()} == want
-    assert one(spark, owners.parent(owners.canonical_utility(F.lit("NEXTERA ENERGY RESOURCES, LLC")))) == "NextEra Energy"
+    assert one(spark, owners.family_parent(owners.canonical_utility(F.lit("NEXTERA ENERGY RESOURCES, LLC")))) == "NextEra Energy"
