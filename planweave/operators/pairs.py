@@ -103,7 +103,7 @@ def with_windows(projects: DataFrame) -> DataFrame:
 
 def with_owners(projects: DataFrame, registry: DataFrame | None = None, as_of: str | None = None) -> DataFrame:
     """Canonical name and ownership, worked out once per distinct name and joined back; ``registry``: audited owners, see ``owners.audited``."""
-    names = projects.select("utility").distinct().withColumn("company", owners.canonical_utility(F.col("utility")))
+    names = owners.once(projects.select("utility").distinct(), "company", owners.canonical_utility(F.col("utility")))
     names = names.join(owners.ownership(names.where("company IS NOT NULL"), registry, as_of), "company", "left")
     none = F.array().cast("array<string>")
     names = names.withColumns({"entities": F.coalesce("entities", none), "stem": F.coalesce("stem", none), "needs_review": F.coalesce("needs_review", F.lit(True)), "withheld": F.coalesce("withheld", F.lit(False))})

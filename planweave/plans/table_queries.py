@@ -195,6 +195,16 @@ def apply_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("id", F.round("lat", 6).alias("lat"), "end_date", "end_precision", "cost_usd", "routed", "requires_review")
 
 
+def patch_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches of names, states, types and voltages; a type that there is not rejects all of its patch."""
+    own = projects(spark, sf_dir)
+    k = F.col("id")
+    kinds = F.when(k % 3 == 0, F.lit("Switching Station ")).when(k % 3 == 1, F.lit("no such type"))
+    edits = own.where(k % 7 == 0).select("id", F.upper("name").alias("name"), F.lit("ZZ").alias("state"), kinds.alias("type"), F.when(k % 2 == 0, F.lit(34.5)).alias("voltage_kv"), (k % 2 == 0).alias("reviewed"))
+    after, wrong = maintenance.apply_patches(own, edits)
+    return after.join(wrong.withColumn("rejected", F.lit(True)), "id", "left").select("id", "name", "state", "type", "voltage_kv", "reviewed", F.coalesce("rejected", F.lit(False)).alias("rejected"))
+
+
 def patch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = projects(spark, sf_dir)
     after, _ = maintenance.apply_patches(own, patches(own))
@@ -297,6 +307,8 @@ SQL = {
     "replace_source": WITH + "SELECT id, source_key, utility FROM projects WHERE source_key NOT IN ('src1','src2') UNION ALL SELECT id+1000000, source_key, upper(utility) FROM projects WHERE source_key='src1'",
     "sync_sources": WITH + "SELECT source_key, sha256(count(*)||','||sum(id)) AS sha FROM projects GROUP BY source_key HAVING source_key IN ('src0','src3','src5')",
     "apply_patches": _PATCHED + "SELECT id, round(CASE WHEN ok AND nlat IS NOT NULL THEN nlat ELSE lat END,6) AS lat, CASE WHEN ok THEN coalesce(nend,end_date) ELSE end_date END AS end_date, CASE WHEN ok AND nend IS NOT NULL THEN 'day' ELSE end_precision END AS end_precision, CASE WHEN ok THEN 12345 ELSE cost_usd END AS cost_usd, routed AND NOT (ok AND nlat IS NOT NULL) AS routed, requires_review AND NOT (ok AND nlat IS NOT NULL) AS requires_review FROM j",
+    "patch_fields": WITH + """, p AS (SELECT *, id%7=0 AS hit, id%7=0 AND id%3<>1 AS ok FROM projects) SELECT id, CASE WHEN ok THEN upper(name) ELSE name END AS name, CASE WHEN ok THEN 'ZZ' ELSE state END AS state,
+      CASE WHEN ok AND id%3=0 THEN 'substation' ELSE type END AS type, CASE WHEN ok AND id%2=0 THEN 34 ELSE voltage_kv END AS voltage_kv, CASE WHEN ok THEN id%2=0 ELSE reviewed END AS reviewed, hit AND NOT ok AS rejected FROM p""",
     "patch_changes": _PATCHED + "SELECT * FROM (SELECT id, concat_ws(',', CASE WHEN nlat IS NOT NULL AND lat IS DISTINCT FROM nlat THEN 'lat' END, CASE WHEN nlat IS NOT NULL AND lng IS DISTINCT FROM -84.5 THEN 'lng' END, CASE WHEN end_date IS DISTINCT FROM coalesce(nend,end_date) THEN 'end_date' END, CASE WHEN cost_usd IS DISTINCT FROM 12345 THEN 'cost_usd' END, CASE WHEN nend IS NOT NULL AND end_precision IS DISTINCT FROM 'day' THEN 'end_precision' END) AS fields FROM j WHERE ok) WHERE fields<>''",
     "upsert_briefs": WITH + "SELECT id AS pair_id, CASE WHEN id%5=0 THEN upper(name) ELSE name END AS text FROM projects WHERE id%3<>0 OR id%5=0",
     "admit_plans": "WITH f AS (SELECT o_custkey%80 AS u, min(o_orderkey) AS a FROM orders GROUP BY 1), r AS (SELECT u, row_number() OVER (ORDER BY a, u) AS r FROM f) SELECT o_orderkey AS plan_id, r<=50 AS admitted FROM orders JOIN r ON u=o_custkey%80",
@@ -309,5 +321,5 @@ SQL = {
 
 QUERIES = {
     f.__name__: f
-    for f in (project_search, near_search, fuzzy_search, fuzzy_matches, search_facets, search_summary, search_page, utility_counts, current_projects, review_queue, nearest_place, line_roster, lines_by_voltage_class, line_bounds, generator_plants, stitch_rows, page_runs, page_selection, page_specs, chunk_pages, split_columns, replace_source, sync_sources, apply_patches, patch_changes, upsert_briefs, admit_plans, plan_status, audit_report, load_stats, snapshot_diff, ordered_states)
+    for f in (project_search, near_search, fuzzy_search, fuzzy_matches, search_facets, search_summary, search_page, utility_counts, current_projects, review_queue, nearest_place, line_roster, lines_by_voltage_class, line_bounds, generator_plants, stitch_rows, page_runs, page_selection, page_specs, chunk_pages, split_columns, replace_source, sync_sources, apply_patches, patch_fields, patch_changes, upsert_briefs, admit_plans, plan_status, audit_report, load_stats, snapshot_diff, ordered_states)
 }
