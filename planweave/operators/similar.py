@@ -56,7 +56,7 @@ def word_similarity_join(queries: DataFrame, names: DataFrame, threshold: float
 
     Queries or names without a letter or digit are similar to nothing.
     """
-    own = names.select("name").distinct().withColumn("own_", trigrams(F.col("name"))).where(F.size("own_") > 0)
+    own = names.select("name").distinct().select("name", F.explode(F.array(trigrams(F.col("name")))).alias("own_")).where(F.size("own_") > 0)
     posted = own.select("name", F.explode(F.array_distinct("own_")).alias("g"))
     asked = queries.select("id", F.array_distinct(trigrams(F.col("q"))).alias("asked_")).where(F.size("asked_") > 0)
     counts = posted.groupBy("g").agg(F.count(F.lit(1)).alias("names_"))
