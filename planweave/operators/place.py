@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import resolve
+
 DUPLICATE_KM, CLUSTER_MILES, SPAN_MILES, ZIP_SHIFT_MILES = 3.0, 15.0, 75.0, 50.0
 EARTH_KM = 6371.0
 MILE_KM = 1.609344
@@ -191,3 +193,53 @@ def locate_zip(asked: DataFrame, census: DataFrame, addresses: DataFrame) -> Dat
     east = (F.col("lng") - F.col("a_lng")) * F.cos(F.radians((F.col("lat") + F.col("a_lat")) / 2))
     near = F.coalesce(69.0 * F.hypot(F.col("lat") - F.col("a_lat"), east) <= ZIP_SHIFT_MILES, F.lit(False))
     return two.select("id", "zip", *[F.when(near, F.col(f"a_{c}")).otherwise(F.col(c)).alias(c) for c in ("lat", "lng")])
+
+
+#: Words for a substation, of which a town's name is left.
+STATION_WORDS = r"(?i)\b(?:substation|sub|switching station|switchyard|station)\b\.?"
+
+
+def geocode(refs: DataFrame, counties: DataFrame, places: DataFrame) -> DataFrame:
+    """Location texts (id, ref, state) to points: id, outcome (exact, approximate, review), lat, lng.
+
+    A county (name, state, lat, lng) that a text names, or a place of that name where no county fits, is approximate; a place
+    (name, state, lat, lng) of a text's name is exact; the town in a substation's name is approximate. The state is the
+    one behind a comma, else that of the row, else any. A step with several hits, or none in the last, leaves the text for review.
+    """
+    ref = F.trim("ref")
+    county = F.regexp_replace(F.lower(F.regexp_extract(ref, resolve.COUNTY, 1)), "^saint ", "st ")
+    written = F.upper(F.regexp_extract(ref, r",\s*([A-Za-z]{2})\s*$", 1))
+    bare = F.trim(F.regexp_replace(ref, r",\s*[A-Za-z]{2}\s*$", ""))
+    town = F.trim(F.regexp_replace(F.regexp_replace(bare, STATION_WORDS, " "), r"\s{2,}", " "))
+    st = F.coalesce(F.nullif(written, F.lit("")), F.upper("state"))
+    own = refs.select("id", st.alias("st"), county.alias("county"), F.lower(bare).alias("bare"), F.lower(town).alias("town"))
+    own = own.withColumn("asked", F.when(F.col("county") != "", F.array(F.struct(F.lit(1).alias("step"), F.col("county").alias("key")), F.struct(F.lit(2).alias("step"), F.col("bare").alias("key")))).otherwise(F.array(F.struct(F.lit(3).alias("step"), F.col("bare").alias("key")), F.struct(F.lit(4).alias("step"), F.col("town").alias("key")))))
+    steps = own.select("id", "st", F.inline("asked")).where("key <> '' AND NOT (step = 4 AND key = '')")
+    known = counties.select(F.lit(True).alias("is_county"), F.lower("name").alias("key"), F.upper("state").alias("s_"), "lat", "lng").unionByName(places.select(F.lit(False).alias("is_county"), F.lower("name").alias("key"), F.upper("state").alias("s_"), "lat", "lng"))
+    hits = steps.join(known, "key").where((F.col("is_county") == (F.col("step") == 1)) & (F.col("st").isNull() | (F.col("st") == F.col("s_"))))
+    found = hits.groupBy("id", "step").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("lat", "lng")).alias("p"))
+    # the first step with a hit decides, but a place with several hits may still be a town with one
+    usable = found.where((F.col("n") == 1) | (F.col("step") == 1)).groupBy("id").agg(F.min(F.struct("step", "n", "p")).alias("b"))
+    out = refs.select("id").join(usable, "id", "left")
+    one = F.coalesce(F.col("b.n") == 1, F.lit(False))
+    outcome = F.when(~one, "review").when(F.col("b.step") == 3, "exact").otherwise("approximate")
+    return out.select("id", outcome.alias("outcome"), *[F.when(one, F.col(f"b.p.{c}")).alias(c) for c in ("lat", "lng")])
+
+
+def locate_entries(entries: DataFrame, gazetteer: DataFrame, places: DataFrame, overrides: DataFrame, counties: DataFrame) -> DataFrame:
+    """``locate`` for entries with a ``text``: where it names counties (name, state, lat, lng), only these states of the entry are looked in.
+
+    An entry whose ends are found in none of them takes the centre of the first county that it names there, in the order of
+    names; it is approximate. An entry with several candidates stays for review.
+    """
+    named = named_counties(entries.select("id", "text"), counties)
+    inside = named.join(entries.select("id", F.explode("states").alias("state")), ["id", "state"])
+    narrowed = inside.groupBy("id").agg(F.collect_set("state").alias("narrow_"))
+    own = entries.join(narrowed, "id", "left").withColumn("states", F.coalesce("narrow_", "states")).select("id", "endpoints", "states", "operator")
+    found = locate(own, gazetteer, places, overrides)
+    centre = inside.join(counties.select("name", "state", "lat", "lng"), ["name", "state"]).groupBy("id").agg(F.min(F.struct("name", "state", "lat", "lng")).alias("c"))
+    options = substation_candidates(own.select("id", "states", "operator", F.explode("endpoints").alias("name")), gazetteer).where(F.size("options") > 1).select("id").distinct().withColumn("several", F.lit(True))
+    out = found.join(centre, "id", "left").join(options, "id", "left")
+    take = F.col("lat").isNull() & F.col("c").isNotNull() & F.col("several").isNull()
+    new = {"lat": F.round("c.lat", 3), "lng": F.round("c.lng", 3), "approximate": F.lit(True), "requires_review": F.lit(False), "states": F.array("c.state")}
+    return out.select(*[F.when(take, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in found.columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +67,51 @@ def filter_lines(lines: DataFrame, box: tuple[float, float, float, float] | None
     return lines if owners is None else lines.where(F.col("owner_norm").isin([o.strip().upper() for o in owners]))
 
 
+#: Degrees by which a simplified line may leave the one it stands for.
+TOLERANCE = 0.0002
+
+
+def kept_vertices(path: list[tuple[float, float]], tolerance: float) -> list[int]:
+    """Places of the vertices of a path that stay: its ends, and between two that stay the farthest of those farther than the tolerance from the way between."""
+    stay, spans = {0, len(path) - 1}, [(0, len(path) - 1)]
+    while spans:
+        a, b = spans.pop()
+        (x0, y0), (x1, y1) = path[a], path[b]
+        dx, dy = x1 - x0, y1 - y0
+        size, far, at = dx * dx + dy * dy, tolerance * tolerance, None
+        for i in range(a + 1, b):
+            x, y = path[i][0] - x0, path[i][1] - y0
+            t = max(0.0, min(1.0, (x * dx + y * dy) / size)) if size else 0.0
+            off = (x - t * dx) ** 2 + (y - t * dy) ** 2
+            if off > far:
+                far, at = off, i
+        if at is not None:
+            stay.add(at)
+            spans += [(a, at), (at, b)]
+    return sorted(stay)
+
+
+def simplify(lines: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """Lines (id, geom: paths of lng, lat, ...) with the vertices that a tolerance in degrees asks for; ends stay, empty paths are left out.
+
+    One line is worked on at a time; equal ids keep their own rows.
+    """
+    schema = lines.select("id", "geom").schema
+
+    def thin(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for geom in b.column("geom").to_pylist():
+                paths = [[(v["lng"], v["lat"]) for v in path] for path in geom or [] if path]
+                out.append(None if geom is None else [[{"lng": p[i][0], "lat": p[i][1]} for i in kept_vertices(p, tolerance)] for p in paths])
+            columns = [pa.array(out, b.schema.field("geom").type) if f.name == "geom" else b.column(f.name) for f in b.schema]
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+
+    return lines.mapInArrow(thin, lines.schema) if len(lines.columns) > 2 else lines.select("id", "geom").mapInArrow(thin, schema)
+
+
 def features(lines: DataFrame) -> DataFrame:
     """Each line as the text of a feature (id, kv, feature), vertices to five places; a collection is these in the order of kV, nulls first, then id."""
     rounded = F.transform("geom", lambda path: F.transform(path, lambda v: F.array(F.round(v["lng"], 5), F.round(v["lat"], 5))))
@@ -73,6 +120,15 @@ def features(lines: DataFrame) -> DataFrame:
     return lines.select("id", "kv", F.to_json(F.struct(F.lit("Feature").alias("type"), shown.alias("properties"), shape.alias("geometry")), {"ignoreNullFields": "false"}).alias("feature"))
 
 
+def collections(lines: DataFrame, by: str) -> DataFrame:
+    """The features of each group as the text of one collection, by kV, nulls first, then id: the group, n, collection."""
+    own = lines.select("id", F.col(by).alias("group_")).distinct().join(features(lines), "id")
+    order = F.struct(F.col("kv").isNotNull().alias("has"), "kv", "id", "feature")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["feature"]), ",")
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), listed, F.lit("]}"))
+    return own.groupBy(F.col("group_").alias(by)).agg(F.count(F.lit(1)).alias("n"), text.alias("collection"))
+
+
 def in_list_order(lines: DataFrame) -> DataFrame:
     return lines.orderBy(F.col("kv").asc_nulls_first(), "id")
 
