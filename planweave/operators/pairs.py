@@ -119,6 +119,20 @@ def ahead_of(projects: DataFrame, as_of: str, evidence: DataFrame | None = None)
     return ahead if evidence is None else ahead.join(evidence.where(F.col("operating_from") <= F.lit(as_of).cast("date")), "id", "left_anti")
 
 
+def still_ahead(projects: DataFrame, as_of: str, evidence: DataFrame | None = None) -> DataFrame:
+    """Projects that are undated or whose last day is not past, but for those that a source says to operate.
+
+    Evidence (source_url, name, operating_from) speaks of the projects of that source and name, a missing one being a value
+    like others, from its day on.
+    """
+    day = F.lit(as_of).cast("date")
+    ahead = projects.where(F.coalesce(F.col("build_end") >= day, F.lit(True)))
+    if evidence is None:
+        return ahead
+    said = evidence.where(F.col("operating_from") <= day).select(F.col("source_url").alias("url_"), F.col("name").alias("name_")).distinct()
+    return ahead.join(said, ahead["source_url"].eqNullSafe(said["url_"]) & ahead["name"].eqNullSafe(said["name_"]), "left_anti")
+
+
 def overlaps(projects: DataFrame, as_of: str, min_days: int = 30, radius_m: float = RADIUS_M, evidence: DataFrame | None = None, changed: DataFrame | None = None, registry: DataFrame | None = None) -> DataFrame:
     """The qualifying pairs with scores, bands and value ranges; whatever one side decides is decided before the join.
 

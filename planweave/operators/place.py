@@ -189,7 +189,8 @@ def named_counties(texts: DataFrame, counties: DataFrame) -> DataFrame:
 
 def locate_zip(asked: DataFrame, census: DataFrame, addresses: DataFrame) -> DataFrame:
     """ZIP codes (id, zip) that the census has to points: the middle of their addresses if at most 50 miles from the census point, else this one."""
-    two = asked.join(census.select("zip", "lat", "lng"), "zip").join(addresses.select("zip", F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng")), "zip", "left")
+    middle = addresses.groupBy("zip").agg(F.avg("lat").alias("a_lat"), F.avg("lng").alias("a_lng"))
+    two = asked.join(census.select("zip", "lat", "lng"), "zip").join(middle, "zip", "left")
     east = (F.col("lng") - F.col("a_lng")) * F.cos(F.radians((F.col("lat") + F.col("a_lat")) / 2))
     near = F.coalesce(69.0 * F.hypot(F.col("lat") - F.col("a_lat"), east) <= ZIP_SHIFT_MILES, F.lit(False))
     return two.select("id", "zip", *[F.when(near, F.col(f"a_{c}")).otherwise(F.col(c)).alias(c) for c in ("lat", "lng")])
