@@ -12,6 +12,7 @@ adverts, forms, reader comments) and scripts, styles and comments are never cont
 
 A class or id says less than a tag: main elements, and article elements that are no comments or teasers, stand out
 of a part that only its class or id marks, and if nothing else is left, what only a class or id marks is content.
+So is then an article element in a header, which was left open. Headings in an article's own header are its headline.
 
 Defined results: null, empty and malformed pages give the text found, or an empty string; an unclosed tag
 ends with the block around it; only the columns named in ``keep`` are carried, but for one named ``text``; rows are
@@ -56,9 +57,16 @@ OTHERS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-\w+|replies|disqus|relate
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 #: Blocks that hold others as their children; the rest are lines of the container they stand in.
 CONTAINER = frozenset("html body article main section div center aside header footer nav form fieldset dialog menu".split())
+#: Blocks that lists of links are made of.
+LISTS = frozenset("ul ol dl table span".split())
 SPACE = re.compile(r"\s+")
-#: How much an element is set aside: by its class or id, by that of comments or teasers, by its tag.
-NAME_ASIDE, OTHERS_ASIDE, TAG_ASIDE = 1, 2, 3
+#: How much an element is set aside: by its class or id, as a header, by the class or id of comments or teasers, by its tag.
+NAME_ASIDE, HEADER_ASIDE, OTHERS_ASIDE, TAG_ASIDE = 1, 2, 3, 4
+#: What is looked at, in this order, until something is left.
+TAKEN = ((0,), (0, NAME_ASIDE), (0, NAME_ASIDE, OTHERS_ASIDE))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A name that a list has, and not a paragraph.
+LINK_LIST = re.compile(r"(?<![^\s_-])tags(?![^\s_-])", re.IGNORECASE)
 
 
 @dataclass
@@ -145,9 +153,17 @@ class Lines(HTMLParser):
             if aside == NAME_ASIDE or aside == OTHERS_ASIDE and tag == "main":
                 aside = 0
                 self.part += 1
-        if tag in ASIDE or "hidden" in own:
+            elif aside == HEADER_ASIDE:
+                aside = NAME_ASIDE
+                self.part += 1
+        if tag in HEADINGS and region and aside == HEADER_ASIDE:
+            aside = 0
+            self.part += 1
+        if tag == "header" and "hidden" not in own:
+            mark = HEADER_ASIDE
+        elif tag in ASIDE or "hidden" in own:
             mark = TAG_ASIDE
-        elif tag not in ("html", "body", "article", "main") and NAMED.search(names := LAYOUT.sub("", names)):
+        elif tag not in ("html", "body", "article", "main") and NAMED.search(names := LAYOUT.sub("", names if tag in CONTAINER or tag in LISTS else LINK_LIST.sub("", names))):
             mark = OTHERS_ASIDE if OTHERS.search(names) else NAME_ASIDE
         else:
             mark = 0
@@ -261,7 +277,7 @@ def cluster(lines: list[Line], sigma: float = SIGMA, share: float = SHARE) -> li
 def extract(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> str:
     """The main text of one page."""
     every = lines_of(html)
-    lines = next((own for k in (0, NAME_ASIDE, OTHERS_ASIDE) if (own := [x for x in every if x.aside <= k])), [])
+    lines = next((own for taken in TAKEN if (own := [x for x in every if x.aside in taken])), [])
     if not lines:
         return ""
     return " ".join(x.text for x, f in zip(lines, grow(lines, cluster(lines, sigma, share)), strict=True) if f)

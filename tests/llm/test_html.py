@@ -37,3 +37,15 @@ def test_short_lines_among_content_of_one_container():
     assert html_extract.extract(f"<div>{paragraphs(4)}<table>{rows}</table></div>") == " ".join([*said(4), *(f"{k} {k + 1}" for k in range(9))])
     menu = "<ul>" + "<li><a href=x>home</a>" * 9 + "</ul>"
     assert html_extract.extract(f"<body>{menu}<h1>Head</h1>{paragraphs(6)}") == " ".join(["Head", *said(6)])
+
+
+def test_headlines_open_headers_and_named_paragraphs():
+    head = "<header><h1>Head</h1><p>By somebody</p></header>"
+    assert html_extract.extract(f"<article>{head}{paragraphs(2)}</article>") == " ".join(["Head", *said(2)])
+    assert html_extract.extract(f"<header><h1>Site</h1><nav><a href=x>home</a></nav></header><article>{head}{paragraphs(2)}</article>") == " ".join(["Head", *said(2)])
+    assert html_extract.extract(f"<header><h1>Site</h1><article>{paragraphs(2)}</article>") == " ".join(said(2))
+    assert html_extract.extract(f"<header><h1>Site</h1><div class=ad>x</div><main>{paragraphs(2)}</main>") == " ".join(said(2))
+    assert html_extract.extract(f"<header><article>teaser</article></header><article>{paragraphs(2)}</article>") == " ".join(said(2))
+    assert html_extract.extract(f"<nav><header><h1>Menu</h1></header></nav><article>{paragraphs(1)}</article>") == said(1)[0]
+    assert html_extract.extract(f"<article><p class='tags'>0 {TEXT}</p><p>1 {TEXT}</p></article>") == " ".join(said(2))
+    assert html_extract.extract(f"<article>{paragraphs(1)}<ul class='tags'><li><a href=x>one</a></ul><p class=ad>buy</p></article>") == said(1)[0]
