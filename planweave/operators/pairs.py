@@ -110,6 +110,29 @@ def with_owners(projects: DataFrame, registry: DataFrame | None = None, as_of: s
     return projects.join(names, "utility", "left")
 
 
+def company_groups(named: DataFrame) -> DataFrame:
+    """The groups of distinct names that keep their members from being matched, over columns of ``with_owners``: utility, kind, key, needs_review, n_names.
+
+    Two names may be matched if and only if neither has a row of kind ``none`` (no company, or withheld), they share no
+    ``entity``, and, if one of them needs review, neither has a row of kind ``any`` (an owner, but no word of its own), they share no
+    ``family`` (a first word that few have) and neither's ``stem`` is a ``beginning`` of the other. So all names are judged
+    by rows in proportion to the names, and no pairs are formed. A beginning that is nobody's stem is no group. Names that
+    are null form no group, repeated rows count once.
+    """
+    own = named.select("utility", "entities", "stem", "needs_review", "withheld").where("utility IS NOT NULL").dropDuplicates(["utility"])
+    row = lambda df, kind, key: df.select("utility", F.lit(kind).alias("kind"), key.alias("key"), "needs_review")
+    barred = (F.size("entities") == 0) | F.col("withheld")
+    shared = F.get("stem", F.lit(0)).isin(owners.COMMON_FIRST)
+    worded = own.where(F.size("stem") > 0)
+    whole = row(worded.where(shared), "stem", F.array_join("stem", " "))
+    longer = worded.where(shared & (F.size("stem") > 1)).withColumn("long_", F.explode(F.sequence(F.lit(1), F.size("stem") - 1)))
+    begun = row(longer, "beginning", F.array_join(F.slice("stem", 1, F.col("long_")), " ")).join(whole.select("key").distinct(), "key", "left_semi").select("utility", "kind", "key", "needs_review")
+    rows = row(own.where(barred), "none", F.lit("")).union(row(own.where((F.size("stem") == 0) & ~barred), "any", F.lit("")))
+    rows = rows.union(own.select("utility", F.lit("entity").alias("kind"), F.explode("entities").alias("key"), "needs_review"))
+    rows = rows.union(row(worded.where(~shared), "family", F.get("stem", F.lit(0)))).union(whole).union(begun)
+    return rows.join(rows.groupBy("kind", "key").agg(F.count("*").alias("n_names")), ["kind", "key"])
+
+
 def ahead_of(projects: DataFrame, as_of: str, evidence: DataFrame | None = None) -> DataFrame:
     """Projects of which no evidence (id, operating_from) says that they operate by then, and whose last day is not past.
 

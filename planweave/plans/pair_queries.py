@@ -86,6 +86,12 @@ def company_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("a_state").alias("state"), "a_utility", "b_utility", owners.different_companies("a", "b").alias("eligible"))
 
 
+def company_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which groups keep company names from being matched, over all names of the projects, whatever their states."""
+    names = projects(spark, sf_dir).select("utility").distinct()
+    return pairs.company_groups(pairs.with_owners(names, registry(spark, sf_dir), AS_OF))
+
+
 def ownership_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each company name of the projects says of its owners, today and while former audits held, and whom it plans with."""
     names = projects(spark, sf_dir).groupBy("utility").agg(F.count("*").alias("n"))
@@ -207,6 +213,11 @@ SQL = {
     "company_names": f"WITH {PROJECTS_SQL}, {COMPANIES_SQL} SELECT utility, company, count(*) AS n FROM projects JOIN companies USING (utility) GROUP BY ALL",
     "company_eligibility": f"""WITH {PROJECTS_SQL}, {COMPANIES_SQL}, u AS (SELECT DISTINCT state, companies.* FROM companies JOIN projects USING (utility) WHERE state IS NOT NULL)
       SELECT a.state, a.utility AS a_utility, b.utility AS b_utility, a.company IS NOT NULL AND b.company IS NOT NULL AND NOT list_has_any(string_split(coalesce(a.entities,'-a'),','),string_split(coalesce(b.entities,'-b'),',')) AND (NOT (a.needs_review OR b.needs_review) OR coalesce(a.family<>b.family,false)) AS eligible FROM u a JOIN u b ON a.state=b.state AND a.utility<b.utility""",
+    "company_groups": f"""WITH {PROJECTS_SQL}, {COMPANIES_SQL}, u AS (SELECT DISTINCT companies.* FROM companies JOIN projects USING (utility)),
+      g AS (SELECT utility, 'none' AS kind, '' AS key, needs_review FROM u WHERE company IS NULL
+        UNION ALL SELECT utility, 'entity', unnest(string_split(entities,',')), needs_review FROM u WHERE company IS NOT NULL
+        UNION ALL SELECT utility, CASE WHEN family LIKE 'big %' THEN 'stem' ELSE 'family' END, split_part(family,',',1), needs_review FROM u WHERE company IS NOT NULL)
+      SELECT utility, kind, key, needs_review, count(*) OVER (PARTITION BY kind, key) AS n_names FROM g""",
     "ownership_flags": f"""WITH {PROJECTS_SQL}, {COMPANIES_SQL}, n AS (SELECT utility, count(*) AS n FROM projects GROUP BY 1),
       r AS (SELECT list_extract({NAMES!r}, CAST(n_nationkey+1 AS INT)) AS utility, n_nationkey%2=0 AS verified FROM nation WHERE n_nationkey<24),
       f AS (SELECT owner, max(CASE WHEN verified THEN 'former holdings' END) AS g FROM (SELECT unnest(string_split(company,' / ')) AS owner, company, verified FROM r JOIN companies USING (utility) WHERE company IS NOT NULL AND company NOT LIKE '% / %') GROUP BY 1),
@@ -222,5 +233,5 @@ SQL = {
 
 QUERIES = {
     f.__name__: f
-    for f in (coordination_pairs, distance_self_join, shared_corridors, pair_impacts, pair_briefs, best_pair_per_project, pairs_between, pair_partners, pairs_in_view, pair_counts_by_state, build_windows, company_names, company_eligibility, ownership_flags, partial_dates)
+    for f in (coordination_pairs, distance_self_join, shared_corridors, pair_impacts, pair_briefs, best_pair_per_project, pairs_between, pair_partners, pairs_in_view, pair_counts_by_state, build_windows, company_names, company_eligibility, company_groups, ownership_flags, partial_dates)
 }
