@@ -8,7 +8,7 @@
    Rarity comes from a sketch of fixed size, so that pairs which many texts share are skipped.
 3. In each posting list all nodes are matched with leaders: a node of the list's largest class (at first the node
    whose coordinate values are the most common ones, the text in the middle of its copies) and one of a class drawn
-   anew each round. Collisions are counted over the whole signature, and those with enough agreeing coordinates are
+   anew each round, in all lists alike. Collisions are counted over the whole signature, and those with enough agreeing coordinates are
    confirmed on full shingle sets. Links are contracted. Lists of over ``SMALL`` nodes go through such rounds until one
    links few against the first: leaders meet all nodes of their lists, so where they link few, few pairs are left to
    link. A large group of near copies costs its size and not its square.
@@ -279,6 +279,19 @@ def contract(comps: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(comps.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "comps")
 
 
+def meet_leaders(own: DataFrame, round_: int) -> DataFrame:
+    """Of lists (key, node, common, comp) the nodes with the leaders of other classes that they meet, once: node, leader.
+
+    Draws don't depend on the list, so that lists of one group agree on their leaders.
+    """
+    draw = F.col("common") if round_ == 0 else F.xxhash64("node", F.lit(round_))
+    classes = own.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max(F.struct(draw.alias("draw"), "node")).alias("first"))
+    largest, drawn = F.max(F.struct("n", "first.draw", "first.node", "comp")), F.max(F.struct(F.xxhash64("comp", F.lit(round_)).alias("h"), "first.node", "comp"))
+    leader = lambda s: F.struct(s["node"].alias("leader"), s["comp"].alias("leader_comp"))
+    leaders = classes.groupBy("key").agg(F.array_distinct(F.array(leader(largest), leader(drawn))).alias("leaders"))
+    return own.join(leaders.select("key", F.inline("leaders")), "key").where(F.col("comp") != F.col("leader_comp")).select("node", "leader").distinct()
+
+
 def link_nodes(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Classes of nodes (node, t1, t2, n, least, odd): node, comp."""
     posted = post(nodes, rarity(nodes), matches_for(percent))
@@ -308,12 +321,7 @@ def link_nodes(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     round_, first = 0, 0
     while True:
         own = open_lists(lists if round_ == 0 else lists.where(F.col("size") > SMALL))
-        draw = F.col("common") if round_ == 0 else F.xxhash64("node", "key", F.lit(round_))
-        classes = own.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max(F.struct(draw.alias("draw"), "node")).alias("first"))
-        largest, drawn = F.max(F.struct("n", "first.draw", "first.node")), F.max(F.struct(F.xxhash64("comp", "key", F.lit(round_)).alias("h"), "first.node"))
-        leaders = classes.groupBy("key").agg(F.array_distinct(F.array(largest["node"], drawn["node"])).alias("leaders"))
-        cand = own.join(leaders.select("key", F.explode("leaders").alias("leader")), "key").where(F.col("node") != F.col("leader")).select("node", "comp", "leader").distinct()
-        cand = cand.join(comps.select(F.col("node").alias("leader"), F.col("comp").alias("leader_comp")), "leader").where(F.col("comp") != F.col("leader_comp"))
+        cand = meet_leaders(own, round_)
         x, y = bits.alias("x"), bits.alias("y")
         near = cand.join(x, F.col("x.node") == cand["node"]).join(y, F.col("y.node") == cand["leader"]).where(may_link("x", "y", percent))
         near = near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), cand["node"].alias("node"), F.struct(unequal("x", "y"), F.col("leader")).alias("far"))
