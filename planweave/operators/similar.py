@@ -58,17 +58,20 @@ def word_similarity_join(queries: DataFrame, names: DataFrame, threshold: float
     """
     own = names.select("name").distinct().select("name", F.explode(F.array(trigrams(F.col("name")))).alias("own_")).where(F.size("own_") > 0)
     posted = own.select("name", F.explode(F.array_distinct("own_")).alias("g"))
-    asked = queries.select("id", F.array_distinct(trigrams(F.col("q"))).alias("asked_")).where(F.size("asked_") > 0)
+    # what many ask in the same trigrams is answered once, and joined back
+    sets = queries.select("id", F.array_sort(F.array_distinct(trigrams(F.col("q")))).alias("asked_")).where(F.size("asked_") > 0)
+    asked = sets.select("asked_").distinct()
     counts = posted.groupBy("g").agg(F.count(F.lit(1)).alias("names_"))
-    ranked = asked.select("id", F.explode("asked_").alias("g")).join(counts, "g", "left")
-    ranked = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("names_", F.lit(0)).alias("names_"), "g"))).alias("by_"))
+    ranked = asked.select("asked_", F.explode("asked_").alias("g")).join(counts, "g", "left")
+    ranked = ranked.groupBy("asked_").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("names_", F.lit(0)).alias("names_"), "g"))).alias("by_"))
     need = F.ceil(F.size("by_") * F.lit(threshold) - 1e-9).cast("int")
-    looked = ranked.select("id", F.explode(F.slice("by_", F.lit(1), F.greatest(F.size("by_") - need + 1, F.lit(1)))).alias("b")).select("id", "b.g")
-    met = looked.join(posted, "g").select("id", "name").distinct()
-    full = met.join(asked, "id").join(own, "name")
+    looked = ranked.select("asked_", F.explode(F.slice("by_", F.lit(1), F.greatest(F.size("by_") - need + 1, F.lit(1)))).alias("b")).select("asked_", "b.g")
+    # few bytes, much work: dealt to all tasks by number, which the planner doesn't merge
+    dealt = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = looked.join(posted, "g").select("asked_", "name").distinct().repartition(dealt, "asked_", "name")
     enough = F.size(F.array_intersect("own_", "asked_")) >= F.size("asked_") * F.lit(threshold) - 1e-9
-    scored = full.where(enough).withColumn("similarity", best_run(F.col("own_"), F.col("asked_")))
-    return scored.where(F.col("similarity") >= threshold).select("id", "name", "similarity")
+    scored = met.join(own, "name").where(enough).withColumn("similarity", best_run(F.col("own_"), F.col("asked_")))
+    return sets.join(scored.where(F.col("similarity") >= threshold), "asked_").select("id", "name", "similarity")
 
 
 def fuzzy_projects(queries: DataFrame, projects: DataFrame, threshold: float = 0.5, texts: tuple = ("utility", "name", "location_ref")) -> DataFrame:
