@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import owners
+from ..functions.stored import stored
 
 #: Words behind the places of a title; words in front of them; words that part two places.
 BEHIND = (
@@ -154,7 +155,7 @@ def form_rows(words: DataFrame) -> DataFrame:
     the miles; the words between are the two terminals, parted at the widest gap, the first of equals. Other rows are left out.
     """
     word = F.struct(F.col("x0"), F.col("x1"), F.col("text").alias("t"))
-    rows = words.groupBy("page", F.bround("top").cast("long").alias("row")).agg(F.array_sort(F.collect_list(word)).alias("w"))
+    rows = words.groupBy("page", F.rint("top").cast("long").alias("row")).agg(F.sort_array(F.collect_list(word)).alias("w"))
     rows = rows.where((F.size("w") >= 6) & F.get("w", F.lit(0))["t"].rlike("^[A-Z]{2,4}(-[A-Z]{2,4})?$"))
     number = F.filter(F.transform("w", lambda w, i: F.when((i >= 2) & w["t"].rlike(r"^\d+(\.\d+)?$"), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("n", F.array_min(number)).where("n >= 3")
@@ -173,7 +174,9 @@ def line_entry_parts(rows: DataFrame) -> DataFrame:
     """Entries (owner_code, terminal_a, terminal_b, month, year, voltage_kv, ...) with owner, end_a, end_b, title, in_service and note.
 
     A terminal loses the owner's code in front of it and what stands in parentheses; a misprinted year is read and noted.
+    Names are read once per distinct code and terminal, not per entry; entries are stored for that.
     """
+    rows = stored(rows, "entries")
     codes = F.split("owner_code", "-")
 
     def bare(terminal: str) -> Column:
@@ -184,10 +187,18 @@ def line_entry_parts(rows: DataFrame) -> DataFrame:
     wrong = (F.col("year") > MISPRINT) & F.col("year").cast("string").startswith("3")
     year = F.when(wrong, F.col("year") - 1000).otherwise(F.col("year"))
     short = lambda c: owners.title_case(F.regexp_replace(c, r"\s+(SUBSTATION|SWITCHING STATION)$", ""))
+
+    def read(df: DataFrame, column: str, name: str, value) -> DataFrame:
+        known = df.select(F.col(column).alias("key_")).where("key_ IS NOT NULL").distinct()
+        known = stored(owners.once(known, name, value(F.col("key_"))), "names")
+        return df.join(known, F.col(column) == F.col("key_"), "left").drop("key_")
+
     kv = F.regexp_replace(F.col("voltage_kv").cast("string"), r"\.0$", "")
     out = rows.withColumns({"end_a": bare("terminal_a"), "end_b": bare("terminal_b")})
+    for column, name, value in (("owner_code", "owner_", owners.canonical_utility), ("end_a", "short_a_", short), ("end_b", "short_b_", short)):
+        out = read(out, column, name, value)
     return out.withColumns({
-        "owner": F.coalesce(owners.canonical_utility(F.col("owner_code")), F.col("owner_code")), "title": F.concat(short(F.col("end_a")), F.lit(" - "), short(F.col("end_b")), F.lit(" "), kv, F.lit(" kV Line")),
+        "owner": F.coalesce("owner_", "owner_code"), "title": F.concat("short_a_", F.lit(" - "), "short_b_", F.lit(" "), kv, F.lit(" kV Line")),
         "in_service": F.try_to_date(F.format_string("%04d-%02d-01", year, F.col("month")), "yyyy-MM-dd"),
         "note": F.when(wrong, F.format_string("printed %d/%d; read as %d", "month", "year", year)).otherwise(""),
-    })
+    }).drop("owner_", "short_a_", "short_b_")
