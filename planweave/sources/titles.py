@@ -39,10 +39,10 @@ def header_from_glyphs(glyphs: DataFrame) -> DataFrame:
     Headers and watermarks lie over each other: letters of the header's size in its band are read line by line, a line
     being letters of one rounded height. Pages without such letters have an empty area.
     """
-    header = (F.col("top") < HEADER_TOP) & (F.bround("size") == HEADER_SIZE)
-    letter = F.when(header, F.struct(F.bround("top").alias("line"), F.col("x0"), F.col("text")))
-    read = glyphs.groupBy("doc", "page").agg(F.array_sort(F.collect_list(letter)).alias("letters"))
-    text = F.array_join(F.transform("letters", lambda c: c["text"]), "")
+    header = (F.col("top") < HEADER_TOP) & (F.rint("size") == HEADER_SIZE)
+    letter = F.when(header, F.struct(F.rint("top").alias("line"), F.col("x0"), F.col("text")))  # bround would print and parse each number
+    read = glyphs.groupBy("doc", "page").agg(F.sort_array(F.collect_list(letter)).alias("letters"))
+    text = F.array_join(F.col("letters")["text"], "")
     return read.select("doc", "page", F.trim(F.split_part(text, F.lit(HEADER_END), F.lit(1))).alias("area"))
 
 

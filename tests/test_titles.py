@@ -85,3 +85,19 @@ def test_header_under_a_watermark(spark):
     mark = [(1, 30.0, 11.0 + 9 * i, 40.0, "D") for i in range(12)] + [(1, 300.0, 5.0, 18.0, "x"), (2, 400.0, 5.0, 18.0, "y")]
     glyphs = spark.createDataFrame([("d", *g) for g in reversed(header + mark)], "doc string, page int, top double, x0 double, size double, text string")
     assert sorted(tuple(r) for r in titles.header_from_glyphs(glyphs).collect()) == [("d", 1, "SOUTHERN"), ("d", 2, "")]
+
+
+def test_names_are_read_once_per_code_and_terminal(spark, monkeypatch):
+    rows = [(1, i, c, a, "B SUBSTATION", 1.0, 1, 2030, 230.0) for i, (c, a) in enumerate([("DEF", "DEF JASPER"), ("DEF", "DEF JASPER"), (None, None)])]
+    own = spark.createDataFrame(rows, "page long, row long, owner_code string, terminal_a string, terminal_b string, miles double, month int, year int, voltage_kv double")
+    asked, read = [], titles.owners.once
+    monkeypatch.setattr(titles.owners, "once", lambda df, name, value: asked.append(df.count()) or read(df, name, value))
+    got = titles.line_entry_parts(own)
+    assert asked == [1, 1, 1] and not {"owner_", "short_a_", "short_b_", "key_"} & set(got.columns)
+    assert [(r.owner, r.end_a, r.title) for r in got.orderBy("row").collect()] == [("Duke Energy Florida", "JASPER", "Jasper - B 230 kV Line")] * 2 + [(None, None, None)]
+
+
+def test_heights_between_two_lines_go_to_the_even_one(spark):
+    glyphs = spark.createDataFrame([(1, 1, top, x, 18.2, t) for top, x, t in [(0.5, 1.0, "A"), (-0.3, 2.0, "B"), (1.5, 0.0, "D"), (2.5, 0.5, "E"), (0.2, 3.0, "C")]], "doc int, page int, top double, x0 double, size double, text string")
+    header = titles.header_from_glyphs(glyphs)
+    assert header.first().area == "ABCDE" and "bround" not in header._jdf.queryExecution().toString()
