@@ -34,7 +34,7 @@ def place_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedupe_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of a name and state, those within three kilometres of one kept before left out."""
-    points = F.array_sort(F.collect_list(F.struct("k", "lat", "lng")))
+    points = F.sort_array(F.collect_list(F.struct("k", "lat", "lng")))
     own = gazetteer(spark, sf_dir).groupBy("state", F.regexp_replace("name", " .*", "").alias("name")).agg(points.alias("points"))
     return own.select("state", "name", F.size("points").alias("n"), F.size(place.dedupe_points(F.col("points"), "struct<k: bigint, lat: double, lng: double>")).alias("n_kept"))
 
@@ -47,8 +47,8 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def substation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many substations each project's first end may be."""
-    found = place.substation_candidates(asked(spark, sf_dir), gazetteer(spark, sf_dir))
-    return found.select("id", F.size("options").alias("n_options"))
+    found = place.substation_candidates(asked(spark, sf_dir), gazetteer(spark, sf_dir), F.size)
+    return found.select("id", F.col("options").alias("n_options"))
 
 
 def zip_points(spark: SparkSession, sf_dir: str) -> DataFrame:
